@@ -36,11 +36,25 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op3_bpe": op3_bpe,
+    "op5_sharding": op5_sharding,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
+    "op10_warc": op10_warc,
 }
 
 ORACLE: dict[str, str] = {}
