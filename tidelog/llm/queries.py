@@ -48,8 +48,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.secrets import secrets_of_documents
+
+    return secrets_of_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_secrets": op2_secrets,
     "op3_bpe": op3_bpe,
     "op5_sharding": op5_sharding,
     "op8_simhash": op8_simhash,
