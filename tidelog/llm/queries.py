@@ -54,11 +54,18 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_of_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.linededup import dedup_report
+
+    return dedup_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_secrets": op2_secrets,
     "op3_bpe": op3_bpe,
     "op5_sharding": op5_sharding,
+    "op6_line_dedup": op6_line_dedup,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
