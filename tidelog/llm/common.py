@@ -47,3 +47,35 @@ def partitions(spark: SparkSession) -> int:
 def text_or_empty(name: str = "text"):
     """The column's text; null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def pieces(batch, column: int, most_rows: int = 500, most_bytes: int = 1 << 20):
+    """Slices of a record batch whose texts in a column come to about ``most_bytes``; a longer text has a slice of its own."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
+    upto = np.cumsum(sizes)
+    begin = 0
+    while begin < len(sizes):
+        done = upto[begin - 1] if begin else 0
+        end = min(max(int(np.searchsorted(upto, done + most_bytes, side="right")), begin + 1), begin + most_rows)
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
+def once(df: DataFrame, **columns) -> DataFrame:
+    """The rows with more columns, each computed once a row however often it is used.
+
+    A generator of one row stands between, since the optimizer would else copy an expression into
+    every place, or every step of a lambda, that refers to it.
+    """
+    new = F.struct(*[(F.expr(c) if isinstance(c, str) else c).alias(k) for k, c in columns.items()])
+    return df.withColumn("_once", F.explode(F.array(new))).select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_once.{k}").alias(k) for k in columns])
+
+
+def kept_table(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written to and read from a Parquet table in the shared folder."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
