@@ -60,12 +60,19 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.decontaminate import leaks_of_documents
+
+    return leaks_of_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_secrets": op2_secrets,
     "op3_bpe": op3_bpe,
     "op5_sharding": op5_sharding,
     "op6_line_dedup": op6_line_dedup,
+    "op7_decontaminate": op7_decontaminate,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
