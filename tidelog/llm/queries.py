@@ -66,10 +66,17 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks_of_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.chat import format_chats
+
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_secrets": op2_secrets,
     "op3_bpe": op3_bpe,
+    "op4_chat": op4_chat,
     "op5_sharding": op5_sharding,
     "op6_line_dedup": op6_line_dedup,
     "op7_decontaminate": op7_decontaminate,
