@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import partitions, text_or_empty
+from tidelog.llm.common import partitions, pieces, text_or_empty
 
 WINDOW, SHORTEST, NORMAL, LONGEST = 32, 32, 64, 256
 #: The highest bits count: they depend on the whole window. Seven zero bits before NORMAL, five after.
@@ -50,6 +50,19 @@ def rolled(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def boundaries(data: np.ndarray, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Places (after which byte) that satisfy the strict and the easy mask, found block by block."""
+    strict, easy = [], []
+    for begin in range(0, len(data), block):
+        lead = min(begin, WINDOW - 1)
+        h = rolled(data[begin - lead : begin + block])[lead:]
+        at = np.flatnonzero((h & EASY) == 0)
+        easy.append(at + begin)
+        strict.append(at[(h[at] & STRICT) == 0] + begin)
+    none = [np.zeros(0, dtype=np.int64)]
+    return np.concatenate(strict or none), np.concatenate(easy or none)
+
+
 def chunk_ends(n: int, strict: list[int], easy: list[int]) -> list[int]:
     """Where chunks of a text of n bytes end, from the sorted places that satisfy each mask."""
     ends, start = [], 0
@@ -71,9 +84,7 @@ def fingerprints(texts: list[bytes]) -> list[dict[str, int]]:
     """The chunk digests and lengths of each text."""
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     begins = np.concatenate(([0], np.cumsum(sizes)))
-    h = rolled(np.frombuffer(b"".join(texts), dtype=np.uint8)) if begins[-1] else np.zeros(0, np.uint32)
-    easy = np.flatnonzero((h & EASY) == 0)
-    strict = easy[(h[easy] & STRICT) == 0]
+    strict, easy = boundaries(np.frombuffer(b"".join(texts), dtype=np.uint8))
     at_easy, at_strict = np.searchsorted(easy, begins), np.searchsorted(strict, begins)
     out = []
     for i, text in enumerate(texts):
@@ -168,8 +179,7 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     def run(batches):
         waiting = None  # (part, key as an array of one, (text, fingerprint))
         for batch in batches:
-            for begin in range(0, batch.num_rows, 500):
-                piece = batch.slice(begin, 500)
+            for piece in pieces(batch, 2):
                 part, extra = piece.column(0).to_pylist(), piece.column(1).to_pylist()
                 texts = piece.column(2).to_pylist()
                 met = list(zip(texts, fingerprints([t.encode() for t in texts]), strict=True))
