@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import text_or_empty
+from tidelog.llm.common import pieces, text_or_empty
 
 PASSAGE, SAMPLE, BAG = 64, 3000, 128
 PAIRS, HIDDEN, GATE = 96, 24, 12
@@ -75,10 +75,8 @@ def passages(text: str, words: int = PASSAGE) -> list[bytes]:
     return out or [b""]
 
 
-def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(features by passage, number of passages by text)."""
-    bags = [passages(t) for t in texts]
-    flat = [p for b in bags for p in b]
+def features(flat: list[bytes]) -> np.ndarray:
+    """The features of passages; memory is about 60 times their bytes."""
     n = len(flat)
     sizes = np.fromiter(map(len, flat), dtype=np.int64, count=n)
     data = np.frombuffer(b"".join(flat), dtype=np.uint8)
@@ -101,6 +99,17 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     x[:, 45] = sizes == 0
     np.sqrt(x[:, :40], out=x[:, :40])
     np.sqrt(x[:, 48:], out=x[:, 48:])
+    return x
+
+
+def encode(texts: list[str], block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """(features by passage, number of passages by text); passages are encoded in blocks of bytes."""
+    bags = [passages(t) for t in texts]
+    flat = [p for b in bags for p in b]
+    upto = np.cumsum([len(p) + 1 for p in flat])
+    cuts = np.searchsorted(upto, np.arange(block, upto[-1], block)) if len(flat) else []
+    edges = np.unique([0, *cuts, len(flat)])
+    x = np.concatenate([np.zeros((0, FEATURES), np.float32), *(features(flat[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True))])
     return x, np.fromiter(map(len, bags), dtype=np.int64, count=len(bags))
 
 
@@ -138,7 +147,7 @@ def gradient(m: dict, f: dict, bags: np.ndarray, y: np.ndarray) -> dict[str, np.
     return {"c": f["doc"].T @ up, "d": np.array([up.sum()]), "w": (f["t"] * f["g"]).T @ de, "V": f["h"].T @ dt, "U": f["h"].T @ dg, "W": f["z"].T @ dh, "b": dh.sum(axis=0)}
 
 
-def fit(x: np.ndarray, bags: np.ndarray, y: np.ndarray, steps: int = 250, rate: float = 0.02, decay: float = 1e-3) -> dict[str, np.ndarray]:
+def fit(x: np.ndarray, bags: np.ndarray, y: np.ndarray, steps: int = 150, rate: float = 0.02, decay: float = 1e-3) -> dict[str, np.ndarray]:
     """Adam over the whole sample, from a fixed start."""
     m = start()
     if not len(y):
@@ -172,14 +181,14 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            x, bags = encode(texts)
-            out, at = [], 0
-            for n in bags.tolist():
-                pick = at + (np.unique(np.linspace(0, n - 1, bag).astype(int)) if n > bag else np.arange(n))
-                out.append(x[pick].astype(np.float16).tobytes())
-                at += n
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["k", "y", "x"])
+            for part in pieces(batch, 2):
+                x, bags = encode(part.column(2).to_pylist())
+                out, at = [], 0
+                for n in bags.tolist():
+                    pick = at + (np.unique(np.linspace(0, n - 1, bag).astype(int)) if n > bag else np.arange(n))
+                    out.append(x[pick].astype(np.float16).tobytes())
+                    at += n
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary())], ["k", "y", "x"])
 
     kind = docs.schema[key].dataType.simpleString()
     got = rows.select("k", "y", "text").mapInArrow(run, f"k {kind}, y int, x binary").orderBy(F.xxhash64("k"), "k", "x").limit(sample).collect()
@@ -196,8 +205,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], key: str = "doc_id", te
 
     def run(batches):
         for batch in batches:
-            for begin in range(0, batch.num_rows, 500):
-                part = batch.slice(begin, 500)
+            for part in pieces(batch, 1):
                 x, bags = encode(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(forward(small, x, bags)["p"].astype(np.float64))], [key, "score"])
 
@@ -219,8 +227,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for begin in range(0, batch.num_rows, 500):
-                part = batch.slice(begin, 500)
+            for part in pieces(batch, at):
                 x, bags = encode([t or "" for t in part.column(at).to_pylist()])
                 yield part.filter(pa.array(forward(small, x, bags)["p"] >= THRESHOLD))
 
