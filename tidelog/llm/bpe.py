@@ -23,7 +23,7 @@ import json
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tidelog.llm.common import text_or_empty
+from tidelog.llm.common import pieces, text_or_empty
 
 #: Fixed value: how the byte-level pre-tokenizer splits a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -210,8 +210,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", text
     def run(batches):
         codec = Codec(spec.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for part in pieces(batch, 1, 2000, 4 << 20):
                 ids = codec.encode_batch(part.column(1).to_pylist())
                 texts = [codec.decode(x) for x in ids]
                 sha = lambda values: pa.array([hashlib.sha256(v).hexdigest() for v in values], pa.string())

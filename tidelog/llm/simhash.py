@@ -16,10 +16,10 @@ come from rounds of large-star and small-star steps on links alone, checkpointed
 ``near_dedup`` (pipeline stage): word shingles of five, similarity (Jaccard) of 0.8 or more. At that
 similarity 64-bit fingerprints differ in up to about 14 bits, where pigeonhole shards no longer
 help, so shards are keyed by the eight least shingle hashes of a text: two texts of similarity 0.8
-share none of them with probability 0.2**8. In a shard the BK-tree of kept fingerprints is searched within
-``WIDE`` bits and what it returns is verified by a sketch of the least ``SKETCH`` shingle hashes (the
-exact Jaccard similarity up to that many shingles, an estimate with a standard error of 0.018 at 0.8
-beyond).
+share none of them with probability 0.2**8. A shard's BK-tree of the texts that stay is searched
+within ``WIDE`` bits and what it returns is verified by a sketch of the least ``SKETCH`` shingle
+hashes (the exact Jaccard similarity up to that many shingles, beyond it an estimate with a standard
+error of 0.018 at 0.8).
 
 Defined results: null texts count as empty; texts without words have the fingerprint zero and are
 linked like any other; repeated rows and ties give a row each; a null key gives a row whose key is
@@ -30,14 +30,12 @@ selected by position from narrow tables.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import cut, partitions, text_or_empty
+from tidelog.llm.common import cut, kept_table, partitions, pieces, text_or_empty
 
 BITS, RADIUS, WIDE = 64, 3, 18
 SHARD = 20_000
@@ -247,7 +245,7 @@ def print_documents(docs: DataFrame, key: str, text: str, words: int) -> DataFra
     import pyarrow as pa
 
     def run(batches):
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, 1, 2000)):
             prints = [fingerprint(shingle_hashes(t, words)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, dtype=np.uint64).view(np.int64))], ["key", "fp"])
 
@@ -264,3 +262,129 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     known = cut(reached.join(ids, "root").select("fp", "component_id"))
     word = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(known, "fp").select(F.col("key").alias(key), word.alias("fingerprint"), "component_id")
+
+
+def sketch(hashes: np.ndarray, least: int = SKETCH) -> np.ndarray:
+    """The least distinct values of the hashes' upper halves, sorted."""
+    return np.unique((hashes >> np.uint64(32)).astype(np.uint32))[:least]
+
+
+def similarity(a: np.ndarray, b: np.ndarray, least: int = SKETCH) -> float:
+    """Jaccard similarity by sketches: of all hashes if neither is full, else of the union's least ones."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    both = np.concatenate((a, b))
+    both.sort()
+    twice = np.flatnonzero(both[1:] == both[:-1])
+    union, shared = len(both) - len(twice), len(twice)
+    if (len(a) >= least or len(b) >= least) and union > least:
+        once = np.ones(len(both), dtype=bool)
+        once[twice] = False
+        shared, union = int((both[twice] <= both[once][least - 1]).sum()), least
+    return shared / union
+
+
+def followers(prints: np.ndarray, sketches: list[np.ndarray], alike: float, wide: int, block: int = 256) -> list[int]:
+    """The members, in order, that are alike an earlier one that stays.
+
+    Those that stay are in a BK-tree, searched within the wide radius for a block of members at once;
+    sketches verify what it returns, nearest first.
+    """
+    stay: list[int] = []
+    tree, gone = None, []
+    for begin in range(0, len(prints), block):
+        mine = np.arange(begin, min(begin + block, len(prints)))
+        near: list[list[tuple[int, int]]] = [[] for _ in mine]
+        if stay:
+            if tree is None:
+                values, which = np.unique(prints[stay], return_inverse=True)
+                tree, holders = BKTree(values), [[] for _ in values]
+                for k, v in enumerate(which.tolist()):
+                    holders[v].append(stay[k])
+            for q, node, d in tree.search(prints[mine], wide):
+                for x, y, c in zip(q.tolist(), node.tolist(), d.tolist(), strict=True):
+                    near[x] += [(c, h) for h in holders[y]]
+        fresh: list[int] = []
+        for x, i in enumerate(mine.tolist()):
+            found = sorted(near[x])
+            if fresh:
+                d = np.bitwise_count(prints[fresh] ^ prints[i])
+                found = sorted(found + [(int(d[k]), fresh[k]) for k in np.flatnonzero(d <= wide)])
+            if any(similarity(sketches[i], sketches[j]) >= alike for _, j in found):
+                gone.append(i)
+            else:
+                fresh.append(i)
+        if fresh:
+            stay += fresh
+            tree = None
+    return gone
+
+
+def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, alike: float = 0.8, wide: int = WIDE, shard: int = 4000) -> DataFrame:
+    """The documents that stay, with all columns: no two are alike, and whatever goes is alike one that came before it.
+
+    Order is by key (null first), then by text hash. Equal word sequences are one text from the
+    start, its first row stays. In each round texts meet in shards of an anchor, in order, and one alike an
+    earlier one of its shard that stays there goes. Shards of more than ``shard`` texts are cut
+    at random, differently each round, and rounds go on until no shard was cut or nothing went.
+    """
+    import pyarrow as pa
+
+    spark = docs.sparkSession
+    n = partitions(spark)
+
+    def describe(batches):
+        for batch in (p for b in batches for p in pieces(b, 2, 1000)):
+            digests, prints, anchors, least = [], [], [], []
+            for t in batch.column(2).to_pylist():
+                h = shingle_hashes(t, words)
+                digests.append(xxhash.xxh3_128_digest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split())))
+                prints.append(fingerprint(h))
+                anchors.append(np.unique(h)[:ANCHORS].view(np.int64))
+                least.append(sketch(h).tobytes())
+            arrays = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array(anchors, pa.list_(pa.int64())), pa.array(least, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["at", "th", "id", "fp", "anchors", "least"])
+
+    source = docs.select(F.col(key).cast("long").alias("at"), F.xxhash64(text_or_empty(text)).alias("th"), text_or_empty(text).alias("text"))
+    described = kept_table(source.mapInArrow(describe, "at long, th long, id binary, fp long, anchors array<long>, least binary"), "described")
+    first = described.groupBy(F.col("id").alias("fid")).agg(F.min(F.struct("at", "th")).alias("first")).select("fid", F.col("first.at").alias("fat"), F.col("first.th").alias("fth"))
+    alive = kept_table(first, "alive")
+    mine = lambda d: (d["id"] == F.col("fid")) & d["at"].eqNullSafe(F.col("fat")) & (d["th"] == F.col("fth"))
+
+    number = 0
+    while True:
+        narrow = described.select("id", "at", "th", "anchors")
+        pairs = narrow.join(alive, mine(narrow), "left_semi").select("id", F.explode("anchors").alias("anchor")).distinct()
+        shared = pairs.groupBy(F.col("anchor").alias("a")).count().where("count > 1")
+        placed = pairs.join(shared, F.col("anchor") == F.col("a")).select("id", "anchor", F.ceil(F.col("count") / shard).alias("cuts"))
+        placed = placed.select("id", F.xxhash64("anchor", F.pmod(F.xxhash64("id", F.lit(number)), F.col("cuts"))).alias("place"), "cuts")
+        per = kept_table(placed.groupBy(F.col("id").alias("fid")).agg(F.collect_list("place").alias("places"), F.max("cuts").alias("cuts")).join(alive, "fid"), "places")
+        was_cut = bool(per.where("cuts > 1").limit(1).count())
+        members = described.select("id", "at", "th", "fp", "least").join(per, mine(described)).select(F.explode("places").alias("place"), "at", "th", "id", "fp", "least")
+        members = members.repartition(n, "place").sortWithinPartitions("place", F.asc_nulls_first("at"), "th")
+
+        def follow(batches):
+            for t in grouped(batches):
+                place, ids = t.column(0).to_numpy(), t.column(3).to_pylist()
+                fp, least = t.column(4).to_numpy().view(np.uint64), t.column(5)
+                edges = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1], [True])))
+                out = []
+                for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    own = [k for k in range(i, j) if k == i or ids[k] != ids[k - 1]]  # a repeated row is the same text
+                    if len(own) > 1:
+                        sketches = [np.frombuffer(least[k].as_py(), dtype=np.uint32) for k in own]
+                        out += [ids[own[x]] for x in followers(fp[own], sketches, alike, wide)]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["gone"])
+
+        gone = kept_table(members.mapInArrow(follow, "gone binary").distinct(), "gone")
+        some = bool(gone.limit(1).count())
+        if some:
+            alive = kept_table(alive.join(gone, F.col("fid") == F.col("gone"), "left_anti"), "alive")
+        number += 1
+        if not (some and was_cut):
+            break
+
+    stays = alive.select(F.col("fat").alias("_sh_key"), F.col("fth").alias("_sh_text"))
+    rows = docs.withColumn("_sh_at", F.col(key).cast("long")).withColumn("_sh_th", F.xxhash64(text_or_empty(text)))
+    rows = rows.join(stays, F.col("_sh_at").eqNullSafe(F.col("_sh_key")) & (F.col("_sh_th") == F.col("_sh_text")), "left_semi")
+    return rows.dropDuplicates(["_sh_at", "_sh_th"]).drop("_sh_at", "_sh_th")
