@@ -1,6 +1,382 @@
-"""The engine's queries by name, and DuckDB SQL for each that SQL can express."""
+"""The engine's queries by name, and DuckDB SQL for each that SQL can express.
+
+The event log binding is that of ``tidelog.plans.envelope.event_log``; commit markers are events whose
+id is a multiple of 777, generations are runs of 1000 records, matrices are made of embeddings
+(scan: vector, channel: position), segments of conversations.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelog.operators import chain, keyed, matrix, merge, relational, scan, segments, visibility
+from tidelog.operators.ordered import with_ordinal
+from tidelog.plans import spec
+from tidelog.plans.envelope import event_log
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+#: The log as SQL.
+LOG = """log AS (
+  SELECT CAST(event_id % 3 AS INTEGER) AS shard_ord, event_id AS sequence, event_id AS record_ord, user_id AS key, value, ts, event_type, props, CAST(strlen(props) AS BIGINT) AS stored_len,
+    CASE event_type WHEN 'signup' THEN 10 WHEN 'purchase' THEN 20 WHEN 'view' THEN 30 WHEN 'click' THEN 40 ELSE 50 END AS block_id,
+    CASE WHEN event_type IN ('signup', 'purchase') THEN 'PUT' WHEN event_type IN ('view', 'click') THEN 'OP' ELSE 'TOMBSTONE' END AS kind,
+    event_id // 1000 AS generation
+  FROM events)"""
+#: The last put or tombstone of each key, and operations after a live put.
+STATES = f"""{LOG}, states AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY shard_ord * 0, sequence DESC) AS rn FROM log WHERE kind <> 'OP') WHERE rn = 1)"""
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+def log_of(spark: SparkSession, sf_dir: str, sharded: bool = False) -> DataFrame:
+    log = event_log(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("generation", F.floor(F.col("record_ord") / 1000))
+    return log if sharded else log.withColumn("shard_ord", F.lit(0))
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cells_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cell events: every cell written in generation 0 and committed in 1, every seventh cleared in 2, every 14th written anew in 3."""
+    cells = matrix.cells_of_vectors(read(spark, sf_dir, "embeddings")).withColumn("o", F.col("scan") * 64 + F.col("ch"))
+    ops = F.array(*[F.struct(F.lit(g).cast("long").alias("generation"), F.lit(op).alias("op"), F.lit(n).alias("n"), F.lit(k).alias("k")) for g, op, n, k in ((0, "WRITE", 1, 1), (1, "COMMIT_CELL", 1, 1), (2, "CLEAR", 7, 1), (3, "WRITE", 14, 2))])
+    rows = cells.select("scan", "ch", "value", "o", F.explode(ops).alias("e")).where(F.col("o") % F.col("e.n") == 0)
+    payload = F.when(F.col("e.k") == 1, F.col("value")).otherwise(F.col("value") * F.lit(2.0).cast("float")).cast("string").cast("binary")
+    return rows.select("e.generation", F.col("o").alias("seq"), "e.op", "scan", "ch", payload.alias("payload"), F.crc32(F.col("value").cast("string").cast("binary")).alias("crc"))
+
+
+# Scans.
+
+
+@query("block_scan", f"WITH {LOG} SELECT record_ord, key, value FROM log WHERE block_id = 20")
+def _(spark, sf_dir):
+    return scan.blocks(log_of(spark, sf_dir), 20, 1).select("record_ord", "key", "value")
+
+
+@query("event_scan", f"WITH {LOG} SELECT record_ord, block_id, kind, key, stored_len FROM log")
+def _(spark, sf_dir):
+    return scan.index_entries(scan.events(log_of(spark, sf_dir))).select("record_ord", F.col("block_id").cast("int").alias("block_id"), "kind", "key", "stored_len")
+
+
+@query("block_get_at", f"WITH {LOG} SELECT record_ord, key, value, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY record_ord) - 1 AS ordinal FROM log WHERE block_id = 20) WHERE ordinal = 42")
+def _(spark, sf_dir):
+    return scan.get_at(log_of(spark, sf_dir), 20, 42).select("record_ord", "key", "value", "ordinal")
+
+
+@query("block_ordinals", f"WITH {LOG} SELECT record_ord, CAST(block_id AS BIGINT) AS block_id, row_number() OVER (PARTITION BY block_id ORDER BY record_ord) - 1 AS ordinal FROM log")
+def _(spark, sf_dir):
+    return with_ordinal(log_of(spark, sf_dir), ["block_id"], "record_ord", stretch=1000).select("record_ord", "block_id", "ordinal")
+
+
+@query("record_map_find", f"WITH {LOG} SELECT record_ord, key FROM log WHERE kind = 'TOMBSTONE' AND value > 50 ORDER BY record_ord LIMIT 1")
+def _(spark, sf_dir):
+    return scan.find(log_of(spark, sf_dir), (F.col("kind") == "TOMBSTONE") & (F.col("value") > 50)).select("record_ord", "key")
+
+
+@query("record_map_fill", f"WITH {LOG} SELECT record_ord, kind FROM log WHERE record_ord > 99 ORDER BY record_ord LIMIT 50")
+def _(spark, sf_dir):
+    return scan.fill(log_of(spark, sf_dir), 50, after=99).select("record_ord", "kind")
+
+
+@query("through_directory", f"WITH {LOG} SELECT record_ord, key, value FROM log WHERE record_ord IN (SELECT o_orderkey FROM orders)")
+def _(spark, sf_dir):
+    return scan.through_directory(log_of(spark, sf_dir), read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_ord"))).select("record_ord", "key", "value")
+
+
+@query("verify_counts", "SELECT count(*) AS records, CAST(0 AS BIGINT) AS damaged, CAST(NULL AS BIGINT) AS first_damaged FROM events")
+def _(spark, sf_dir):
+    return scan.verify(log_of(spark, sf_dir))
+
+
+@query("block_tails", f"WITH {LOG} SELECT CAST(block_id AS BIGINT) AS block_id, max(record_ord) AS tail, max(sequence) AS last_sequence, count(*) AS records FROM log GROUP BY block_id")
+def _(spark, sf_dir):
+    return scan.tails(log_of(spark, sf_dir))
+
+
+# Keyed state.
+
+
+@query("keyed_latest", f"WITH {STATES} SELECT key, value, sequence FROM states WHERE kind = 'PUT'")
+def _(spark, sf_dir):
+    return keyed.latest(log_of(spark, sf_dir)).select("key", "value", "sequence")
+
+
+@query("keyed_get", f"WITH {STATES} SELECT key, value FROM states WHERE kind = 'PUT' AND key = 7")
+def _(spark, sf_dir):
+    return keyed.get(log_of(spark, sf_dir), key=7).select("key", "value")
+
+
+@query("keyed_lookup_state", f"WITH {STATES} SELECT c.c_custkey AS key, CASE WHEN s.kind IS NULL THEN 'Missing' WHEN s.kind = 'PUT' THEN 'Put' ELSE 'Tombstone' END AS state, s.sequence, s.record_ord FROM customer c LEFT JOIN states s ON s.key = c.c_custkey")
+def _(spark, sf_dir):
+    return keyed.lookup(log_of(spark, sf_dir), read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")))
+
+
+@query("keyed_history", f"WITH {LOG} SELECT record_ord, key, value FROM log WHERE kind = 'PUT'")
+def _(spark, sf_dir):
+    return keyed.history(log_of(spark, sf_dir)).select("record_ord", "key", "value")
+
+
+@query("keyed_live_count", f"WITH {STATES} SELECT count(*) AS live FROM states WHERE kind = 'PUT'")
+def _(spark, sf_dir):
+    return keyed.latest(log_of(spark, sf_dir)).agg(F.count("*").alias("live"))
+
+
+@query("keyed_materialized", f"WITH {STATES} SELECT s.key, round(s.value + coalesce(sum(o.value), 0), 2) AS value, count(o.key) AS operations FROM states s LEFT JOIN log o ON o.key = s.key AND o.kind = 'OP' AND o.sequence > s.sequence WHERE s.kind = 'PUT' GROUP BY s.key, s.value")
+def _(spark, sf_dir):
+    out = keyed.materialize_sum(log_of(spark, sf_dir), orphans="skip")
+    return out.select("key", F.round("value", 2).alias("value"), "operations")
+
+
+@query("keyed_folded", f"WITH {STATES}, ops AS (SELECT s.key, s.value AS base, list(o.value ORDER BY o.sequence) FILTER (WHERE o.key IS NOT NULL) AS v FROM states s LEFT JOIN log o ON o.key = s.key AND o.kind = 'OP' AND o.sequence > s.sequence WHERE s.kind = 'PUT' GROUP BY s.key, s.value) SELECT key, round(list_reduce(list_prepend(base, coalesce(v, [])), lambda a, x: a / 2 + x), 4) AS value FROM ops")
+def _(spark, sf_dir):
+    out = keyed.materialize_fold(log_of(spark, sf_dir), lambda s, v: s / 2 + v, orphans="skip")
+    return out.select("key", F.round("value", 4).alias("value"))
+
+
+@query("keyed_set_fold", f"WITH {STATES} SELECT s.key, coalesce(max_by(o.value, o.sequence), s.value) AS value, count(o.key) AS operations FROM states s LEFT JOIN log o ON o.key = s.key AND o.kind = 'OP' AND o.sequence > s.sequence WHERE s.kind = 'PUT' GROUP BY s.key, s.value")
+def _(spark, sf_dir):
+    return keyed.materialize_last(log_of(spark, sf_dir), orphans="skip")
+
+
+@query("orphan_operations", f"WITH {LOG} SELECT o.record_ord, o.key FROM log o WHERE o.kind = 'OP' AND coalesce((SELECT max_by(r.kind, r.sequence) FROM log r WHERE r.key = o.key AND r.kind <> 'OP' AND r.sequence < o.sequence), 'none') <> 'PUT'")
+def _(spark, sf_dir):
+    return keyed.orphans_of(log_of(spark, sf_dir)).select("record_ord", "key")
+
+
+@query("key_tails", f"WITH {LOG} SELECT key, max(record_ord) AS tail FROM log WHERE kind <> 'OP' GROUP BY key")
+def _(spark, sf_dir):
+    return keyed.key_tails(log_of(spark, sf_dir))
+
+
+@query("distinct_keys_ever", f"WITH {LOG} SELECT count(DISTINCT key) AS keys_ever FROM log WHERE kind <> 'OP'")
+def _(spark, sf_dir):
+    return keyed.distinct_keys_ever(log_of(spark, sf_dir))
+
+
+# Merge, compact, rewrite.
+
+SHARDED = f"WITH {LOG}, states AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY shard_ord DESC, sequence DESC) AS rn FROM log WHERE kind <> 'OP') WHERE rn = 1)"
+AFTER = "o.key = s.key AND o.kind = 'OP' AND (o.shard_ord > s.shard_ord OR o.shard_ord = s.shard_ord AND o.sequence > s.sequence)"
+
+
+@query("shard_merge", f"{SHARDED} SELECT s.key, round(s.value + coalesce(sum(o.value), 0), 2) AS value, count(o.key) AS operations FROM states s LEFT JOIN log o ON {AFTER} WHERE s.kind = 'PUT' GROUP BY s.key, s.value")
+def _(spark, sf_dir):
+    log = log_of(spark, sf_dir, sharded=True)
+    base, *deltas = [log.where(F.col("shard_ord") == i) for i in range(3)]
+    return merge.merge(base, *deltas, fold="sum", orphans="skip").select("key", F.round("value", 2).alias("value"), "operations")
+
+
+@query("shard_compact", f"WITH {STATES} SELECT s.key, coalesce(max_by(o.value, o.sequence), s.value) AS value FROM states s LEFT JOIN log o ON o.key = s.key AND o.kind = 'OP' AND o.sequence > s.sequence WHERE s.kind = 'PUT' GROUP BY s.key, s.value")
+def _(spark, sf_dir):
+    return merge.compact(log_of(spark, sf_dir), 1, orphans="skip", key_limit=10**9).select("key", "value")
+
+
+@query("merge_estimate", f"WITH {LOG} SELECT count(*) AS records, count(*) AS key_bearing, count(*) FILTER (WHERE kind = 'PUT') AS keys_at_most, CAST(sum(stored_len) AS BIGINT) AS bytes, max(stored_len) AS largest FROM log")
+def _(spark, sf_dir):
+    return merge.estimate(log_of(spark, sf_dir))
+
+
+@query("replace_at", f"WITH {LOG} SELECT record_ord, sequence, CASE WHEN block_id = 10 AND n = 5 THEN 999.0 ELSE value END AS value FROM (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY record_ord) - 1 AS n FROM log)")
+def _(spark, sf_dir):
+    return merge.replace_at(log_of(spark, sf_dir), 10, 5, value=999.0).select("record_ord", "sequence", "value")
+
+
+@query("defragment", f"WITH {LOG} SELECT record_ord, lag(record_ord) OVER (PARTITION BY block_id ORDER BY record_ord) AS prev_same_block FROM log WHERE record_ord % 5 <> 0")
+def _(spark, sf_dir):
+    dead = merge.mark_dead(log_of(spark, sf_dir), F.col("record_ord") % 5 == 0)
+    return merge.defragment(dead).select("record_ord", "prev_same_block")
+
+
+@query("defragment_report", f"WITH {LOG} SELECT count(*) AS records, count(*) FILTER (WHERE record_ord % 5 = 0) AS dropped, CAST(sum(CASE WHEN record_ord % 5 = 0 THEN stored_len ELSE 0 END) AS BIGINT) AS bytes_dropped FROM log")
+def _(spark, sf_dir):
+    return merge.defragment_report(merge.mark_dead(log_of(spark, sf_dir), F.col("record_ord") % 5 == 0))
+
+
+@query("migrate_v1_v2", f"WITH {LOG} SELECT record_ord, CAST(2 AS INTEGER) AS block_version, value * 2 AS value FROM log WHERE block_id = 10")
+def _(spark, sf_dir):
+    return merge.migrate(log_of(spark, sf_dir), 10, 1, 2, lambda d: d.withColumn("value", F.col("value") * 2)).select("record_ord", "block_version", "value")
+
+
+# Visibility.
+
+
+@query("commit_prefix", f"WITH {LOG} SELECT record_ord, key FROM log WHERE record_ord <= (SELECT max(record_ord) FROM log WHERE record_ord % 777 = 0)")
+def _(spark, sf_dir):
+    return visibility.committed(log_of(spark, sf_dir), F.col("record_ord") % 777 == 0).select("record_ord", "key")
+
+
+@query("commit_prefix_none", f"WITH {LOG} SELECT record_ord FROM log WHERE false")
+def _(spark, sf_dir):
+    return visibility.committed(log_of(spark, sf_dir)).select("record_ord")
+
+
+@query("snapshot_read", f"WITH {LOG} SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY sequence DESC) AS rn FROM log WHERE kind <> 'OP' AND generation <= 0) WHERE rn = 1 AND kind = 'PUT'")
+def _(spark, sf_dir):
+    return visibility.Snapshot(log_of(spark, sf_dir), 0).latest().select("key", "value")
+
+
+@query("snapshot_follow", f"WITH {LOG} SELECT record_ord, kind FROM log WHERE generation > 0 AND generation <= 5")
+def _(spark, sf_dir):
+    return visibility.followed(log_of(spark, sf_dir), 0, 5).select("record_ord", "kind")
+
+
+@query("snapshot_lag", f"WITH {LOG} SELECT CAST(2 AS BIGINT) AS pinned, max(generation) AS latest, count(*) FILTER (WHERE generation > 2) AS lag_records, CAST(coalesce(sum(stored_len) FILTER (WHERE generation > 2), 0) AS BIGINT) AS lag_bytes FROM log")
+def _(spark, sf_dir):
+    return visibility.snapshot_lag(log_of(spark, sf_dir), 2)
+
+
+@query("immediate_boundaries", f"WITH {LOG} SELECT batch, max(record_ord) AS boundary, count(*) AS records FROM (SELECT record_ord, (row_number() OVER (ORDER BY record_ord) - 1) // 500 AS batch FROM log) GROUP BY batch")
+def _(spark, sf_dir):
+    return visibility.boundaries(log_of(spark, sf_dir), 500)
+
+
+@query("immediate_bytes", f"WITH {LOG}, s AS (SELECT record_ord, stored_len, sum(stored_len) OVER (ORDER BY record_ord) AS upto FROM log) SELECT record_ord FROM s WHERE (upto - stored_len) // 4096 < upto // 4096 OR record_ord % 1000 = 0")
+def _(spark, sf_dir):
+    return visibility.immediate(log_of(spark, sf_dir), nbytes=4096, when=F.col("record_ord") % 1000 == 0).where("commits").select("record_ord")
+
+
+@query("recover_truncated", f"WITH {LOG} SELECT record_ord FROM log WHERE record_ord < 800")
+def _(spark, sf_dir):
+    torn = log_of(spark, sf_dir).withColumn("payload", F.when(F.col("record_ord") >= 800, F.concat("payload", F.lit("x"))).otherwise(F.col("payload")))
+    return visibility.recover(torn, "truncate_tail").select("record_ord")
+
+
+# History.
+
+
+@query("block_chain", f"WITH {LOG} SELECT record_ord, lag(record_ord) OVER (ORDER BY record_ord) AS prev_same_block FROM log WHERE block_id = 30")
+def _(spark, sf_dir):
+    return chain.walk(chain.block_chain(log_of(spark, sf_dir), 30), "prev_same_block").select("record_ord", "prev_same_block")
+
+
+@query("key_chain", f"WITH {LOG} SELECT key, record_ord, lag(record_ord) OVER (PARTITION BY key ORDER BY record_ord) AS prev_same_key FROM log WHERE kind <> 'OP'")
+def _(spark, sf_dir):
+    return chain.key_chain(log_of(spark, sf_dir)).select("key", "record_ord", "prev_same_key")
+
+
+# Matrices.
+
+CELLS = "cells AS (SELECT vec_id AS scan, CAST(unnest(generate_series(0, 63)) AS BIGINT) AS ch, unnest(embedding) AS value FROM embeddings), addressed AS (SELECT *, scan * 64 + ch AS o FROM cells)"
+
+
+@query("matrix_ordinal", f"WITH {CELLS} SELECT scan, ch, o AS ordinal, value FROM addressed")
+def _(spark, sf_dir):
+    cells = matrix.cells_of_vectors(read(spark, sf_dir, "embeddings"))
+    return cells.select("scan", "ch", matrix.Dims(10_000_000, 64, 10**12).ordinal().alias("ordinal"), "value")
+
+
+@query("matrix_status", f"WITH {CELLS} SELECT scan, ch, o % 7 <> 0 AS committed FROM addressed")
+def _(spark, sf_dir):
+    vectors = read(spark, sf_dir, "embeddings").count()
+    return matrix.status(matrix.state(cells_log(spark, sf_dir)), matrix.Dims(vectors, 64, 10**12)).select("scan", "ch", "committed")
+
+
+@query("matrix_cell_get", f"WITH {CELLS} SELECT scan, ch FROM addressed WHERE o % 7 <> 0")
+def _(spark, sf_dir):
+    return matrix.read_cells(matrix.state(cells_log(spark, sf_dir))).select("scan", "ch")
+
+
+@query("matrix_resume", f"WITH {CELLS} SELECT count(*) FILTER (WHERE o % 7 <> 0) AS committed, count(*) AS total, 'Partial' AS signal FROM addressed")
+def _(spark, sf_dir):
+    vectors = read(spark, sf_dir, "embeddings").count()
+    return matrix.resume(matrix.state(cells_log(spark, sf_dir)), matrix.Dims(vectors, 64, 10**12))
+
+
+@query("matrix_as_of", f"WITH {CELLS} SELECT scan, count(*) AS committed FROM addressed GROUP BY scan")
+def _(spark, sf_dir):
+    return matrix.state(cells_log(spark, sf_dir), generation=1).where("committed").groupBy("scan").agg(F.count("*").alias("committed"))
+
+
+@query("matrix_chunks", f"WITH {CELLS} SELECT scan // 100 AS chunk, count(*) AS cells, count(*) FILTER (WHERE o % 7 <> 0) AS committed FROM addressed GROUP BY 1")
+def _(spark, sf_dir):
+    state = matrix.state(cells_log(spark, sf_dir))
+    return state.groupBy(matrix.chunk_of(100).alias("chunk")).agg(F.count("*").alias("cells"), F.count_if("committed").alias("committed"))
+
+
+@query("matrix_changed", f"WITH {CELLS} SELECT scan, ch FROM addressed WHERE o % 7 = 0")
+def _(spark, sf_dir):
+    return matrix.changed(cells_log(spark, sf_dir), 1, 3)
+
+
+@query("matrix_rebuild", f"WITH {CELLS} SELECT count(*) AS cells, count(*) FILTER (WHERE o % 7 <> 0) AS committed FROM addressed")
+def _(spark, sf_dir):
+    return matrix.rebuild(matrix.state(cells_log(spark, sf_dir))).agg(F.count("*").alias("cells"), F.count_if("committed").alias("committed"))
+
+
+@query("matrix_verify_pages", f"WITH {CELLS} SELECT o // 32768 AS page, count(*) AS cells, CAST(0 AS BIGINT) AS damaged, 'None' AS action FROM addressed GROUP BY 1")
+def _(spark, sf_dir):
+    return matrix.verify_pages(matrix.state(cells_log(spark, sf_dir)), matrix.Dims(10_000_000, 64, 10**12))
+
+
+# Segments: a conversation is a file, a turn a segment.
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file"), F.col("turn").alias("record_ord"), F.col("role").alias("kind"), F.octet_length("text").cast("long").alias("byte_len"))
+
+
+@query("segment_index", "SELECT conv_id AS file, turn AS record_ord, role AS kind, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS segment_index, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS kind_index FROM conversations")
+def _(spark, sf_dir):
+    return segments.segment_index(turns(spark, sf_dir)).drop("byte_len")
+
+
+@query("chunk_index", "SELECT conv_id AS file, turn AS record_ord, strlen(text) AS byte_len, CAST(coalesce(sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset FROM conversations")
+def _(spark, sf_dir):
+    return segments.chunk_index(turns(spark, sf_dir), "file", "record_ord").drop("kind")
+
+
+@query("segment_reduce", f"WITH {LOG} SELECT record_ord, key, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY key ORDER BY record_ord) AS carried FROM log")
+def _(spark, sf_dir):
+    log = log_of(spark, sf_dir).withColumn("given", F.when(F.col("block_id") == 20, F.col("value")))
+    return segments.carry_forward(log, ["key"], "record_ord", "given").select("record_ord", "key", "carried")
+
+
+@query("latest_properties", f"WITH {LOG} SELECT key, CAST(block_id AS BIGINT) AS block_id, max_by(value, record_ord) AS value FROM log GROUP BY key, block_id")
+def _(spark, sf_dir):
+    return segments.latest_properties(log_of(spark, sf_dir), ["key", "block_id"], "record_ord", "value")
+
+
+@query("concat_values", "SELECT label, v AS value, row_number() OVER (PARTITION BY label ORDER BY vec_id, i) - 1 AS sample FROM (SELECT label, vec_id, CAST(unnest(generate_series(0, 63)) AS BIGINT) AS i, unnest(embedding) AS v FROM embeddings)")
+def _(spark, sf_dir):
+    return segments.concat_values(read(spark, sf_dir, "embeddings"), ["label"], "vec_id", "embedding")
+
+
+@query("segment_fold", "SELECT conv_id AS file, CAST(sum(strlen(text) * (turn + 1)) AS BIGINT) AS state FROM conversations GROUP BY conv_id")
+def _(spark, sf_dir):
+    rows = turns(spark, sf_dir).withColumn("weight", F.col("byte_len") * (F.col("record_ord") + 1))
+    return segments.reduce_segments(rows, ["file"], "record_ord", ["weight"], F.lit(0).cast("long"), lambda s, x: s + x.weight)
+
+
+@query("report_status", f"WITH {LOG} SELECT CAST(block_id AS BIGINT) AS block_id, CASE WHEN max(value) > 100 THEN 'error' WHEN max(value) > 50 THEN 'warning' ELSE 'ok' END AS status, count(*) AS findings FROM log GROUP BY block_id")
+def _(spark, sf_dir):
+    found = log_of(spark, sf_dir).withColumn("severity", F.when(F.col("value") > 100, "error").when(F.col("value") > 50, "warning").otherwise("info"))
+    return segments.roll_up(found, ["block_id"])
+
+
+# Formats.
+
+STATUS_BLOCK = spec.Block(1, "order_status", (spec.Field("o_orderstatus", "string"), spec.Field("o_orderpriority", "string")), keys=("o_orderstatus", "o_orderpriority"), domain=(("F", "O", "P"), ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")))
+
+
+@query("finite_key_codes", "SELECT o_orderkey, CAST((list_position(['F', 'O', 'P'], o_orderstatus) - 1) * 5 + list_position(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'], o_orderpriority) - 1 AS INTEGER) AS code FROM orders")
+def _(spark, sf_dir):
+    return spec.with_codes(read(spark, sf_dir, "orders"), STATUS_BLOCK).select("o_orderkey", "code")
+
+
+for _name, (_run, _sql) in relational.SUPPLEMENTS.items():
+    QUERIES[_name], ORACLE[_name] = _run, _sql
