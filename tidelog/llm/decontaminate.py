@@ -29,23 +29,31 @@ WINDOW, ENOUGH, SMALL = 8, 13, 500_000
 
 #: Units that may follow a number.
 UNITS = ("mm", "cm", "m", "km", "in", "ft", "yd", "mi", "mg", "g", "kg", "t", "lb", "oz", "ml", "l", "gal", "s", "sec", "min", "h", "hr", "hour", "hours", "minute", "minutes", "second", "seconds", "day", "days", "week", "weeks", "month", "months", "year", "years", "meter", "meters", "metre", "metres", "mile", "miles", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "degrees")
-MARKS = ".,;:!?\"'()[]{}«»“”‘’…*#&$%<>|"
+#: Control characters that mark names and units while a text is cut; a text's own ones are dropped.
+NAME, UNIT = "\\u0003", "\\u0005"
+
+
+def marked_words(text: str) -> str:
+    """SQL for the words of a text in lower case without marks; names and units begin with their control character.
+
+    A name is a capitalised word within a sentence, a unit one of ``UNITS`` after a number.
+    """
+    plain = f"replace(replace({text}, '{NAME}', ''), '{UNIT}', '')"
+    named = f"regexp_replace({plain}, '(?<=[^.!?:\\\\s])(\\\\s+)(?=\\\\p{{Lu}}\\\\p{{Ll}}+(?!\\\\p{{L}}))', '$1{NAME}')"
+    units = f"regexp_replace({named}, '(\\\\p{{N}}\\\\s+)({'|'.join(UNITS)})(?!\\\\p{{L}})', '$1{UNIT}$2')"
+    bare = f"regexp_replace(lower({units}), '[^\\\\p{{L}}\\\\p{{N}}\\\\s{NAME}{UNIT}]+', '')"
+    return f"filter(split({bare}, '\\\\s+'), x -> x <> '')"
+
+
+#: SQL for the template word of a marked word x.
+WORD = f"case when left(x, 1) between '0' and '9' then '<num>' when left(x, 1) = '{NAME}' then '<name>' when left(x, 1) = '{UNIT}' then '<unit>' else x end"
 
 
 def templated(df: DataFrame) -> DataFrame:
     """Rows with a column text, and: raw (words in lower case without marks), word (template words), th (their hashes)."""
-    marks = MARKS.replace("\\", "\\\\").replace("'", "\\'")
-    df = once(df, _w="filter(split(text, '[ \\\\t\\\\r\\\\n\\\\f]+'), x -> x <> '')")
-    df = once(df, _c=f"transform(_w, x -> translate(x, '{marks}', ''))", _e="transform(_w, x -> right(x, 1) in ('.', '!', '?', ':'))")
-    df = once(df, _p="zip_with(concat(array(true), slice(_e, 1, greatest(size(_e) - 1, 0))), concat(array(''), slice(_c, 1, greatest(size(_c) - 1, 0))), (e, c) -> struct(e, left(c, 1) between '0' and '9' as n))", _low="transform(_c, x -> lower(x))")
-    df = once(df, _z="slice(arrays_zip(_c, _low, _p), 1, size(_c))")
-    units = ", ".join(f"'{u}'" for u in UNITS)
-    name = "not x._p.e and length(x._c) > 1 and left(x._c, 1) <> left(x._low, 1) and substr(x._c, 2) = substr(x._low, 2)"
-    kind = f"case when left(x._c, 1) between '0' and '9' then '<num>' when x._p.n and x._low in ({units}) then '<unit>' when {name} then '<name>' else x._low end"
-    df = once(df, _t=f"filter(transform(_z, x -> struct(x._low as raw, {kind} as word)), x -> x.word <> '')")
-    df = once(df, raw="transform(_t, x -> x.raw)", word="transform(_t, x -> x.word)")
-    df = once(df, th="transform(word, x -> xxhash64(x))")
-    return df.drop("_w", "_c", "_e", "_p", "_low", "_z", "_t")
+    df = once(df, _x=marked_words("text"))
+    df = df.withColumn("raw", F.expr(f"transform(_x, x -> ltrim('{NAME}{UNIT}', x))")).withColumn("word", F.expr(f"transform(_x, x -> {WORD})"))
+    return df.withColumn("th", F.expr(f"transform(_x, x -> xxhash64({WORD}))")).drop("_x")
 
 
 def windows(size: str) -> str:
@@ -66,7 +74,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     small = places.count() <= SMALL
 
     slim = docs.select(F.col(key).cast("long").alias("id"), text_or_empty(text).alias("text")).withColumn("doc", F.xxhash64("text"))
-    cut = templated(slim).select("id", "doc", "th")
+    cut = once(slim.select("id", "doc", "text"), th=f"transform({marked_words('text')}, x -> xxhash64({WORD}))").select("id", "doc", "th")
     mine = cut.select("id", "doc", F.explode(F.concat(*[F.expr(windows(str(n))) for n in sizes] or [F.expr(windows(str(WINDOW)))])).alias("w")).select("id", "doc", "w.i", "w.hash")
     hits = mine.join(F.broadcast(places) if small else places, "hash").select("id", "doc", "item", "ith", "i", (F.col("i") - F.col("j")).alias("shift")).distinct()
     runs = hits.groupBy("id", "doc", "item", "ith", "shift").agg(F.count("*").alias("n"), F.min("i").alias("low"), F.max("i").alias("high"))
