@@ -325,8 +325,10 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
 
     Order is by key (null first), then by text hash. Equal word sequences are one text from the
     start, its first row stays. In each round texts meet in shards of an anchor, in order, and one alike an
-    earlier one of its shard that stays there goes. Shards of more than ``shard`` texts are cut
-    at random, differently each round, and rounds go on until no shard was cut or nothing went.
+    earlier one of its shard that stays there goes. Shards of more than ``shard`` texts are cut at
+    random, and what is left of them, and of nothing else, meets in another round, cut differently,
+    until no shard is that large or nothing goes; shards that are still larger then are compared
+    piece by piece with each other, so no pair is left out.
     """
     import pyarrow as pa
 
@@ -351,15 +353,19 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     alive = kept_table(first, "alive")
     mine = lambda d: (d["id"] == F.col("fid")) & d["at"].eqNullSafe(F.col("fat")) & (d["th"] == F.col("fth"))
 
-    number = 0
+    narrow = described.select("id", "at", "th", "anchors")
+    pairs = narrow.join(alive, mine(narrow), "left_semi").select("id", F.explode("anchors").alias("anchor")).distinct()
+    number, blocks = 0, False
     while True:
-        narrow = described.select("id", "at", "th", "anchors")
-        pairs = narrow.join(alive, mine(narrow), "left_semi").select("id", F.explode("anchors").alias("anchor")).distinct()
-        shared = pairs.groupBy(F.col("anchor").alias("a")).count().where("count > 1")
-        placed = pairs.join(shared, F.col("anchor") == F.col("a")).select("id", "anchor", F.ceil(F.col("count") / shard).alias("cuts"))
-        placed = placed.select("id", F.xxhash64("anchor", F.pmod(F.xxhash64("id", F.lit(number)), F.col("cuts"))).alias("place"), "cuts")
-        per = kept_table(placed.groupBy(F.col("id").alias("fid")).agg(F.collect_list("place").alias("places"), F.max("cuts").alias("cuts")).join(alive, "fid"), "places")
-        was_cut = bool(per.where("cuts > 1").limit(1).count())
+        shared = pairs.groupBy(F.col("anchor").alias("a")).agg(F.ceil(F.count("*") / shard).alias("cuts"), F.count("*").alias("n")).where("n > 1").drop("n")
+        placed = kept_table(pairs.join(shared, F.col("anchor") == F.col("a")).select("id", "anchor", "cuts"), "placed")
+        piece = F.pmod(F.xxhash64("id", F.lit(number)), F.col("cuts"))
+        if blocks:
+            placed_in = placed.select("id", "anchor", piece.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("other"))
+            place = F.xxhash64("anchor", F.least("own", "other"), F.greatest("own", "other"))
+        else:
+            placed_in, place = placed, F.xxhash64("anchor", piece)
+        per = placed_in.select("id", place.alias("place")).groupBy(F.col("id").alias("fid")).agg(F.collect_list("place").alias("places")).join(alive, "fid")
         members = described.select("id", "at", "th", "fp", "least").join(per, mine(described)).select(F.explode("places").alias("place"), "at", "th", "id", "fp", "least")
         members = members.repartition(n, "place").sortWithinPartitions("place", F.asc_nulls_first("at"), "th")
 
@@ -380,9 +386,11 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
         some = bool(gone.limit(1).count())
         if some:
             alive = kept_table(alive.join(gone, F.col("fid") == F.col("gone"), "left_anti"), "alive")
-        number += 1
-        if not (some and was_cut):
+        large = placed.where("cuts > 1").select("id", "anchor")
+        if blocks or not large.limit(1).count():
             break
+        pairs = large.join(gone, F.col("id") == F.col("gone"), "left_anti")
+        number, blocks = number + 1, not some
 
     stays = alive.select(F.col("fat").alias("_sh_key"), F.col("fth").alias("_sh_text"))
     rows = docs.withColumn("_sh_at", F.col(key).cast("long")).withColumn("_sh_th", F.xxhash64(text_or_empty(text)))
