@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import kept_table, once, text_or_empty
+from tidelog.llm.common import cut, once, text_or_empty
 
 WINDOW, ENOUGH, SMALL = 8, 13, 500_000
 
@@ -67,22 +67,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     th is the hash of the document's text, by which rows of equal keys differ.
     """
     items = templated(benchmark.select(F.col(item).alias("item"), text_or_empty().alias("text")).distinct()).where("size(word) > 0")
-    items = kept_table(items.select("item", F.xxhash64("text").alias("ith"), "raw", "word", "th"), "items")
+    items = cut(items.select("item", F.xxhash64("text").alias("ith"), "raw", "word", "th"))
     sizes = sorted(r[0] for r in items.select(F.least(F.lit(WINDOW), F.size("th"))).distinct().collect())  # WINDOW values at most
     places = items.select("item", "ith", F.explode(F.concat(*[_of_size(n) for n in sizes] or [_of_size(WINDOW)])).alias("w")).select("item", "ith", "w.i", "w.hash")
-    places = kept_table(places.withColumnRenamed("i", "j"), "windows")
+    places = cut(places.withColumnRenamed("i", "j"))
     small = places.count() <= SMALL
 
     slim = docs.select(F.col(key).cast("long").alias("id"), text_or_empty(text).alias("text")).withColumn("doc", F.xxhash64("text"))
-    cut = once(slim.select("id", "doc", "text"), th=f"transform({marked_words('text')}, x -> xxhash64({WORD}))").select("id", "doc", "th")
-    mine = cut.select("id", "doc", F.explode(F.concat(*[F.expr(windows(str(n))) for n in sizes] or [F.expr(windows(str(WINDOW)))])).alias("w")).select("id", "doc", "w.i", "w.hash")
+    mine = once(slim.select("id", "doc", "text"), th=f"transform({marked_words('text')}, x -> xxhash64({WORD}))").select("id", "doc", "th")
+    mine = mine.select("id", "doc", F.explode(F.concat(*[F.expr(windows(str(n))) for n in sizes] or [F.expr(windows(str(WINDOW)))])).alias("w")).select("id", "doc", "w.i", "w.hash")
     hits = mine.join(F.broadcast(places) if small else places, "hash").select("id", "doc", "item", "ith", "i", (F.col("i") - F.col("j")).alias("shift")).distinct()
     runs = hits.groupBy("id", "doc", "item", "ith", "shift").agg(F.count("*").alias("n"), F.min("i").alias("low"), F.max("i").alias("high"))
     runs = runs.join(items.select("item", "ith", F.size("th").alias("length")), _same("item", "ith", runs, items), "inner").select(runs["*"], "length")
     covered = F.least(F.col("n") + WINDOW - 1, F.col("high") - F.col("low") + F.least(F.lit(WINDOW), F.col("length")), F.col("length"))
     runs = runs.withColumn("words", covered).where(F.col("words") >= F.least(F.lit(ENOUGH), F.col("length")))
 
-    able = kept_table(runs.select("id", "doc", "item", "ith", "shift", "low", "high", "length", "words"), "aligned")
+    able = cut(runs.select("id", "doc", "item", "ith", "shift", "low", "high", "length", "words"))
     by_doc = able.groupBy("id", "doc").agg(F.collect_list(F.struct("item", "ith", "shift", "low", "high", "length", "words")).alias("runs")).withColumnRenamed("id", "rid").withColumnRenamed("doc", "rdoc")
     met = slim.join(by_doc, F.col("id").eqNullSafe(F.col("rid")) & (F.col("doc") == F.col("rdoc"))).select("id", "doc", "text", "runs")
     met = templated(met).select("id", "doc", "raw", "word", F.explode("runs").alias("run"))
