@@ -116,6 +116,6 @@ def leaks_of_documents(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that hold no benchmark item, with all columns."""
-    bad = find_leaks(docs, benchmark, key, text).select("id", "doc").distinct()
+    bad = find_leaks(docs, benchmark, key, text).select(F.col("id").alias("_dc_bad"), F.col("doc").alias("_dc_text")).distinct()
     keyed = docs.withColumn("_dc_id", F.col(key).cast("long")).withColumn("_dc_doc", F.xxhash64(text_or_empty(text)))
-    return keyed.join(bad, F.col("_dc_id").eqNullSafe(F.col("id")) & (F.col("_dc_doc") == F.col("doc")), "left_anti").drop("_dc_id", "_dc_doc")
+    return keyed.join(bad, F.col("_dc_id").eqNullSafe(F.col("_dc_bad")) & (F.col("_dc_doc") == F.col("_dc_text")), "left_anti").drop("_dc_id", "_dc_doc")
