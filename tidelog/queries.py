@@ -12,10 +12,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.functions import codec
 from tidelog.operators import chain, keyed, matrix, merge, relational, scan, segments, visibility
 from tidelog.operators.ordered import with_ordinal
 from tidelog.plans import spec
 from tidelog.plans.envelope import event_log
+from tidelog.plans.paths import shared_path
+from tidelog.sources import logfile
+from tidelog.sources.store import LogStore
+from tidelog.streaming import follow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -378,5 +383,67 @@ def _(spark, sf_dir):
     return spec.with_codes(read(spark, sf_dir, "orders"), STATUS_BLOCK).select("o_orderkey", "code")
 
 
+# Sources, sinks and streams: written to and read from the shared folder.
+
+
+@query("log_file_scan", f"WITH {LOG} SELECT CAST(block_id AS BIGINT) AS block_id, count(*) AS records, CAST(sum(stored_len) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS damaged FROM log WHERE block_id = 20 GROUP BY block_id")
+def _(spark, sf_dir):
+    """The log written as framed files and scanned for one block, which the source skips to."""
+    logfile.register(spark)
+    path = shared_path(spark, "logfile")
+    log = log_of(spark, sf_dir).withColumn("payload", F.col("payload").cast("binary"))
+    log.write.format("tidelog").mode("append").save(path)
+    rows = spark.read.format("tidelog").load(path).where("block_id = 20")
+    return rows.groupBy("block_id").agg(F.count("*").alias("records"), F.sum("stored_len").alias("bytes"), F.count_if(F.crc32("payload") != F.col("checksum")).alias("damaged"))
+
+
+@query("store_generations", f"WITH {LOG} SELECT CAST(shard_ord AS BIGINT) AS generation, count(*) AS records, count(*) FILTER (WHERE kind = 'PUT') AS puts FROM log GROUP BY 1")
+def _(spark, sf_dir):
+    """Three generations appended to a store and published one by one, then read whole."""
+    kept = LogStore(spark, shared_path(spark, "store"))
+    log = log_of(spark, sf_dir, sharded=True).drop("generation")
+    for shard in range(3):
+        kept.append(log.where(F.col("shard_ord") == shard))
+        kept.sync()
+    rows = kept.read().groupBy("generation").agg(F.count("*").alias("records"), F.count_if(F.col("kind") == "PUT").alias("puts"))
+    kept.unlock()
+    return rows
+
+
+@query("codec_round_trip", "SELECT o_orderkey, o_orderstatus, o_custkey FROM orders")
+def _(spark, sf_dir):
+    """Orders as canonical variable payloads and back."""
+    fields = (spec.Field("o_orderkey", "i64"), spec.Field("o_orderstatus", "string"), spec.Field("o_custkey", "i64"))
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([codec.encode_fields(fields, r) for r in b.to_pylist()], pa.binary())], ["payload"])
+
+    packed = read(spark, sf_dir, "orders").select(*[f.name for f in fields]).mapInArrow(pack, "payload binary")
+    return packed.select(codec.decode_column(F.col("payload"), fields).alias("r")).select("r.*")
+
+
+@query("stream_latest", f"WITH {STATES} SELECT key, kind, sequence, value FROM states")
+def _(spark, sf_dir):
+    """The log followed as a stream to its end; equal to the batch answer."""
+    path = shared_path(spark, "followed")
+    log = log_of(spark, sf_dir).select("sequence", "key", "kind", "value")
+    log.repartition(4, "sequence").write.parquet(path)
+    source = follow.follow(spark, path, log.schema, files_per_batch=2)
+    return follow.run_to_table(follow.latest_stream(source), f"latest_{path.rsplit('-', 1)[1]}", shared_path(spark, "offsets"))
+
+
+@query("stream_windows", "SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def _(spark, sf_dir):
+    """Counts by hour with a watermark; the input is in order, so nothing is late."""
+    events = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    counts = follow.windowed_counts(events.withColumn("ts", F.col("ts").cast("timestamp")))
+    name = shared_path(spark, "windows")
+    table = follow.run_to_table(counts, f"windows_{name.rsplit('-', 1)[1]}", name)
+    return table.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 for _name, (_run, _sql) in relational.SUPPLEMENTS.items():
     QUERIES[_name], ORACLE[_name] = _run, _sql
