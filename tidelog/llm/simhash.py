@@ -355,7 +355,7 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
 
     narrow = described.select("id", "at", "th", "anchors")
     pairs = narrow.join(alive, mine(narrow), "left_semi").select("id", F.explode("anchors").alias("anchor")).distinct()
-    number, blocks = 0, False
+    met, number, blocks = described, 0, False
     while True:
         shared = pairs.groupBy(F.col("anchor").alias("a")).agg(F.ceil(F.count("*") / shard).alias("cuts"), F.count("*").alias("n")).where("n > 1").drop("n")
         placed = kept_table(pairs.join(shared, F.col("anchor") == F.col("a")).select("id", "anchor", "cuts"), "placed")
@@ -365,8 +365,14 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
             place = F.xxhash64("anchor", F.least("own", "other"), F.greatest("own", "other"))
         else:
             placed_in, place = placed, F.xxhash64("anchor", piece)
-        per = placed_in.select("id", place.alias("place")).groupBy(F.col("id").alias("fid")).agg(F.collect_list("place").alias("places")).join(alive, "fid")
-        members = described.select("id", "at", "th", "fp", "least").join(per, mine(described)).select(F.explode("places").alias("place"), "at", "th", "id", "fp", "least")
+        per = placed_in.select(F.col("id").alias("pid"), place.alias("place")).groupBy("pid").agg(F.collect_list("place").alias("places"))
+        if number:
+            met = met.drop("places").join(per, F.col("id") == F.col("pid"))
+        else:  # later rounds read what this one joins: a row for each text that shares an anchor
+            per = per.join(alive, F.col("pid") == F.col("fid"))
+            met = described.join(per, mine(described))
+        met = kept_table(met.select("id", "at", "th", "fp", "least", "places"), "met")
+        members = met.select(F.explode("places").alias("place"), "at", "th", "id", "fp", "least")
         members = members.repartition(n, "place").sortWithinPartitions("place", F.asc_nulls_first("at"), "th")
 
         def follow(batches):
