@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.operators.ordered import with_last_seen
 from tidelog.plans.envelope import OP, PUT, TOMBSTONE, logical
 from tidelog.plans.errors import MissingTarget, UsageError
 
@@ -81,18 +82,16 @@ def _live_operations(log: DataFrame, keys: list[str], orphans: str) -> tuple[Dat
 
 
 def orphans_of(log: DataFrame, keys: list[str] = ("key",)) -> DataFrame:
-    """Operations that have no live put before them.
+    """Operations that have no live put before them: the last reset, carried along each key's order, is none or a tombstone.
 
-    Resets become intervals (from a reset to the next one of its key) and an operation is an orphan if it
-    lies in none that a put began. One sort by key; a hot key's resets are a window in one task.
+    The order is cut into stretches, so a hot key's records are not one task.
     """
-    from pyspark.sql import Window
-
     keys = list(keys)
-    window = Window.partitionBy(*keys).orderBy("shard_ord", "sequence", "record_ord")
-    reset = F.when(F.col("kind").isin(PUT, TOMBSTONE), F.col("kind"))
-    rows = log.where(F.col("kind").isin(PUT, OP, TOMBSTONE)).withColumn("_reset", F.last(reset, ignorenulls=True).over(window))
-    return rows.where((F.col("kind") == OP) & ~F.col("_reset").eqNullSafe(PUT)).drop("_reset")
+    span = (log.agg(F.max("sequence")).head()[0] or 0) + 1
+    rows = log.where(F.col("kind").isin(PUT, OP, TOMBSTONE)).withColumn("_o", F.col("shard_ord") * span + F.col("sequence"))
+    rows = rows.withColumn("_k", F.when(F.col("kind") != OP, F.col("kind")))
+    rows = with_last_seen(rows, keys, "_o", "_k", "_reset")
+    return rows.where((F.col("kind") == OP) & ~F.col("_reset").eqNullSafe(PUT)).drop("_o", "_k", "_reset")
 
 
 def check_orphans(log: DataFrame, keys: list[str] = ("key",)) -> None:
