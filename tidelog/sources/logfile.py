@@ -22,7 +22,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from tidelog.plans.errors import CorruptData
 
 MAGIC = b"TIDELOG1"
-HEAD = struct.Struct("<IHBxIQII")
+HEAD = "<IHBxIQII"
+HEAD_SIZE = struct.calcsize(HEAD)
 KINDS = ("PUT", "OP", "TOMBSTONE", "META", "COMMIT")
 SCHEMA = "block_id long, block_version int, kind string, shard_ord int, sequence long, record_ord long, stored_len long, checksum long, payload binary, file string"
 
@@ -34,7 +35,7 @@ def _open(path: str):
 
 
 def frame(block: int, version: int, kind: str, shard: int, sequence: int, payload: bytes) -> bytes:
-    return HEAD.pack(block, version, KINDS.index(kind), shard, sequence, len(payload), zlib.crc32(payload)) + payload
+    return struct.pack(HEAD, block, version, KINDS.index(kind), shard, sequence, len(payload), zlib.crc32(payload)) + payload
 
 
 def manifests(path: str) -> list[dict]:
@@ -95,23 +96,23 @@ class LogReader(DataSourceReader):
                 raise CorruptData("not a log file", file=partition.file)
             at, n = len(MAGIC), 0
             while at < size:
-                head = f.read_at(HEAD.size, at)
-                whole = len(head) == HEAD.size
+                head = f.read_at(HEAD_SIZE, at)
+                whole = len(head) == HEAD_SIZE
                 if whole:
-                    block, version, kind, shard, sequence, length, crc = HEAD.unpack(head)
-                    whole = at + HEAD.size + length <= size and kind < len(KINDS)
+                    block, version, kind, shard, sequence, length, crc = struct.unpack(HEAD, head)
+                    whole = at + HEAD_SIZE + length <= size and kind < len(KINDS)
                 if not whole:
                     if self.tolerant:
                         return
                     raise CorruptData("a record is torn", file=partition.file, at=at)
                 if self.block is None or block == self.block:
-                    payload = f.read_at(length, at + HEAD.size)
+                    payload = f.read_at(length, at + HEAD_SIZE)
                     if zlib.crc32(payload) != crc:
                         if self.tolerant:
                             return
                         raise CorruptData("a record differs from its checksum", file=partition.file, at=at)
                     yield block, version, KINDS[kind], shard, sequence, n, length, crc, payload, partition.file
-                at += HEAD.size + length
+                at += HEAD_SIZE + length
                 n += 1
 
 
