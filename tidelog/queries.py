@@ -18,7 +18,7 @@ from tidelog.operators.ordered import with_ordinal
 from tidelog.plans import spec
 from tidelog.plans.envelope import event_log
 from tidelog.plans.paths import shared_path
-from tidelog.sources import logfile
+from tidelog.sources import layout, logfile
 from tidelog.sources.store import LogStore
 from tidelog.streaming import follow
 
@@ -445,5 +445,153 @@ def _(spark, sf_dir):
     return table.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+# Further rows of the inventory.
+
+
+def torn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log, broken from record 800 on."""
+    broken = F.when(F.col("record_ord") >= 800, F.concat("payload", F.lit("x"))).otherwise(F.col("payload"))
+    return log_of(spark, sf_dir).withColumn("payload", broken)
+
+
+@query("metadata_latest", "SELECT o_orderpriority AS key, max_by(o_orderstatus, o_orderkey) AS payload FROM orders GROUP BY 1")
+def _(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_ord"), F.lit("META").alias("kind"), F.col("o_orderpriority").alias("key"), F.col("o_orderstatus").alias("payload"))
+    return scan.metadata(rows)
+
+
+@query("composite_latest", "SELECT o_custkey, o_orderpriority, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey DESC) AS rn FROM orders) WHERE rn = 1 AND o_orderstatus <> 'P'")
+def _(spark, sf_dir):
+    """Latest values under a key of two fields; orders of status P delete."""
+    kind = F.when(F.col("o_orderstatus") == "P", "TOMBSTONE").otherwise("PUT")
+    rows = read(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", "o_totalprice", kind.alias("kind"), F.col("o_orderkey").alias("sequence"), F.col("o_orderkey").alias("record_ord"), F.lit(0).alias("shard_ord"))
+    return keyed.latest(rows, ["o_custkey", "o_orderpriority"], ("o_totalprice",)).select("o_custkey", "o_orderpriority", "o_totalprice")
+
+
+@query("key_walk", f"WITH {LOG} SELECT record_ord, prev_same_key FROM (SELECT key, record_ord, lag(record_ord) OVER (PARTITION BY key ORDER BY record_ord) AS prev_same_key FROM log WHERE kind <> 'OP') WHERE key = 7 AND record_ord <= 5000")
+def _(spark, sf_dir):
+    return chain.walk(chain.key_chain(log_of(spark, sf_dir).where("key = 7")), "prev_same_key", start=5000).select("record_ord", "prev_same_key")
+
+
+@query("shard_merge_set", f"{SHARDED} SELECT s.key, coalesce(max_by(o.value, {{'a': o.shard_ord, 'b': o.sequence}}), s.value) AS value, count(o.key) AS operations FROM states s LEFT JOIN log o ON {AFTER} WHERE s.kind = 'PUT' GROUP BY s.key, s.value")
+def _(spark, sf_dir):
+    log = log_of(spark, sf_dir, sharded=True)
+    return merge.merge(*[log.where(F.col("shard_ord") == i) for i in range(3)], fold="last", orphans="skip", key_limit=10**9)
+
+
+@query("replace_fixed", f"WITH {LOG} SELECT record_ord, CASE WHEN record_ord = 42 THEN 10000000 ELSE sequence END AS sequence, CASE WHEN record_ord = 42 THEN -1.0 ELSE value END AS value FROM log")
+def _(spark, sf_dir):
+    return merge.replace_fixed(log_of(spark, sf_dir), 42, 10_000_000, value=-1.0).select("record_ord", "sequence", "value")
+
+
+@query("recovery_report", f"WITH {LOG} SELECT CAST(sum(stored_len) AS BIGINT) AS original_len, CAST(sum(stored_len) FILTER (WHERE record_ord < 800) AS BIGINT) AS recovered_len, count(*) FILTER (WHERE record_ord < 800) AS records_preserved FROM log")
+def _(spark, sf_dir):
+    return visibility.recovery_report(torn(spark, sf_dir))
+
+
+@query("recover_marked", f"WITH {LOG} SELECT record_ord, record_ord >= 800 AS is_dead FROM log")
+def _(spark, sf_dir):
+    return visibility.recover(torn(spark, sf_dir), "mark_tail").select("record_ord", "is_dead")
+
+
+@query("verify_damage", f"WITH {LOG} SELECT count(*) AS records, count(*) FILTER (WHERE record_ord >= 800) AS damaged, min(record_ord) FILTER (WHERE record_ord >= 800) AS first_damaged FROM log")
+def _(spark, sf_dir):
+    return scan.verify(torn(spark, sf_dir))
+
+
+@query("matrix_clear_category", f"WITH {CELLS} SELECT ch, count(*) FILTER (WHERE o % 7 <> 0 AND ch >= 10) AS committed FROM addressed GROUP BY ch")
+def _(spark, sf_dir):
+    cells = matrix.recovery(matrix.state(cells_log(spark, sf_dir)), "Clear", F.col("ch") < 10)
+    return cells.groupBy("ch").agg(F.count_if("committed").alias("committed"))
+
+
+@query("matrix_copy", f"WITH {CELLS} SELECT scan, ch, o % 7 <> 0 AS copied FROM addressed")
+def _(spark, sf_dir):
+    """Committed cells' bytes copied over a matrix of zeros."""
+    source = matrix.state(cells_log(spark, sf_dir))
+    target = source.select("scan", "ch", F.lit(b"0").alias("payload"), F.lit(True).alias("committed"))
+    return matrix.copy_cells(source, target).select("scan", "ch", (~F.col("committed")).alias("copied"))
+
+
+@query("matrix_quarantine", f"WITH {CELLS} SELECT count(*) FILTER (WHERE o // 32768 <> 0) AS cells FROM addressed")
+def _(spark, sf_dir):
+    """One damaged cell closes its whole page."""
+    dims = matrix.Dims(10_000_000, 64, 10**12)
+    cells = matrix.state(cells_log(spark, sf_dir)).withColumn("payload", F.when((F.col("scan") == 0) & (F.col("ch") == 1), F.lit(b"?")).otherwise(F.col("payload")))
+    return matrix.quarantine(cells, matrix.verify_pages(cells, dims), dims).agg(F.count("*").alias("cells"))
+
+
+@query("entries_for_key", "SELECT turn AS record_ord, strlen(text) AS byte_len, CAST(coalesce(sum(strlen(text)) OVER (ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset FROM conversations WHERE conv_id = 3")
+def _(spark, sf_dir):
+    index = segments.chunk_index(turns(spark, sf_dir), "file", "record_ord")
+    return segments.entries_for(index, 3, "file").select("record_ord", "byte_len", "byte_offset")
+
+
+@query("segment_bounds", "SELECT conv_id AS file, turn AS record_ord FROM conversations")
+def _(spark, sf_dir):
+    index = segments.chunk_index(turns(spark, sf_dir), "file", "record_ord").withColumn("raw_len", F.col("byte_offset") + F.col("byte_len"))
+    return segments.bounded(index).select("file", "record_ord")
+
+
+@query("layout_scan", "SELECT conv_id AS file, turn AS record_ord, strlen(text) AS byte_len, role AS metadata FROM conversations")
+def _(spark, sf_dir):
+    """Conversations written as segment files and parsed again."""
+    kind = layout.Kind("turn", b"TURN", (("next_offset", "u64"), ("raw_offset", "u64"), ("place", "u32")))
+    form, path = layout.Layout((kind,), b"CONV"), shared_path(spark, "layout")
+    rows = read(spark, sf_dir, "conversations").repartition("conv_id").sortWithinPartitions("conv_id", "turn")
+
+    def write(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path)
+        store.create_dir(root, recursive=True)
+        n, name, data = 0, None, b""
+
+        def close():
+            if name is not None:
+                with store.open_output_stream(f"{root}/{name}.conv") as out:
+                    out.write(data)
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["conv_id"] != name:
+                    close()
+                    name, data, n = r["conv_id"], form.header, n + 1
+                data += layout.write_segment(kind, {"place": r["turn"]}, r["role"].encode(), r["text"].encode())
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["files"])
+
+    rows.mapInArrow(write, "files long").agg(F.sum("files")).collect()
+    found = layout.read_segments(spark, f"{path}/*.conv", form)
+    file = F.regexp_extract("file", r"(\d+)\.conv$", 1).cast("long")
+    return found.select(file.alias("file"), F.col("lead_in")["place"].alias("record_ord"), F.octet_length("raw").cast("long").alias("byte_len"), F.decode("metadata", "UTF-8").alias("metadata"))
+
+
+@query("bitmap_bits", "SELECT o_orderkey, o_orderkey % 64 IN (0, 3, 9, 27, 63) AS bit FROM orders")
+def _(spark, sf_dir):
+    bits = codec.Bitmap(64)
+    for i in (0, 3, 9, 27, 63):
+        bits.set(i)
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.lit(bytes(bits.data)).alias("m"))
+    return rows.select("o_orderkey", codec.bit_of("m", F.col("o_orderkey") % 64).alias("bit"))
+
+
+@query("read_limits", f"WITH {LOG} SELECT kind, count(*) AS records FROM log GROUP BY kind")
+def _(spark, sf_dir):
+    log = spec.LIMITS["standard"].meet(spec.Limits(payload=10_000)).check(log_of(spark, sf_dir))
+    return log.groupBy("kind").agg(F.count("*").alias("records"))
+
+
+@query("format_fields", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'order_status', CAST(0 AS INTEGER), 'o_orderstatus', 'string', true), (1, 'order_status', 1, 'o_orderpriority', 'string', true)) t(block_id, block, position, field, type, is_key)")
+def _(spark, sf_dir):
+    return spec.Format("TIDE", (STATUS_BLOCK,)).validate().describe(spark).select("block_id", "block", "position", "field", "type", "is_key")
+
+
+@query("finite_key_domain", "SELECT CAST((a - 1) * 5 + b - 1 AS INTEGER) AS code, ['F', 'O', 'P'][a] AS o_orderstatus, ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][b] AS o_orderpriority FROM range(1, 4) x(a), range(1, 6) y(b)")
+def _(spark, sf_dir):
+    return spec.finite_keys(spark, STATUS_BLOCK)
+
+
 for _name, (_run, _sql) in relational.SUPPLEMENTS.items():
     QUERIES[_name], ORACLE[_name] = _run, _sql
