@@ -3,14 +3,19 @@
 Every stage takes (spark, docs, sf_dir), works on all that the one before it kept and returns the
 columns of documents; the last returns the tokens' digests instead. Models and benchmarks come
 from the tables beside the documents.
+
+A stage's inner tables in the shared folder are deleted when the next stage begins, since its
+result has been written by then; a result that isn't written can't be read after that.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm.bpe import encode_documents
-from tidelog.llm.common import shared_path, table
+from tidelog.llm.common import drop_tables, recording, shared_path, table
 from tidelog.llm.decontaminate import without_leaks
 from tidelog.llm.linededup import dedup_lines
 from tidelog.llm.quality import keep_good
@@ -18,26 +23,46 @@ from tidelog.llm.queries import VOCABULARY
 from tidelog.llm.simhash import near_dedup
 
 
+_INNER: list[str] = []
+
+
+def stage(f):
+    """A stage that first deletes the inner tables of the one before it."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_tables(spark, _INNER)
+        with recording(_INNER):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+@stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Chunks of lines that occurred before go from the texts; documents stay."""
     return dedup_lines(docs)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return near_dedup(docs)
 
 
+@stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of what is left."""
     return encode_documents(docs, VOCABULARY)
@@ -51,9 +76,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
+    docs, before = table(spark, sf_dir, "documents"), []
+    for i, (_, f) in enumerate(STAGES):
         path = shared_path(spark, f"stage{i}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        f(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        drop_tables(spark, before)
+        before = [path]
+    drop_tables(spark, _INNER)
     return docs

@@ -2,36 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.plans.paths import shared_path, shared_root
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+__all__ = ["cut", "drop_tables", "kept_table", "once", "partitions", "pieces", "recording", "shared_path", "shared_root", "table", "text_or_empty"]
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
-
-    Only where that setting is absent (a local session, as in tests) is a temporary folder of
-    this machine taken, once for a session.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tidelog-shared-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
 
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, never handed out twice."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -74,8 +57,32 @@ def once(df: DataFrame, **columns) -> DataFrame:
     return df.withColumn("_once", F.explode(F.array(new))).select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_once.{k}").alias(k) for k in columns])
 
 
+#: Paths of the tables that ``kept_table`` wrote, for whoever records them.
+_RECORDS: list[list[str]] = []
+
+
+@contextmanager
+def recording(paths: list[str]):
+    """Adds the tables that are kept meanwhile to a list."""
+    _RECORDS.append(paths)
+    try:
+        yield paths
+    finally:
+        _RECORDS.pop()
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes kept tables that nothing reads any more, wherever the shared folder lies."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    paths.clear()
+
+
 def kept_table(df: DataFrame, name: str) -> DataFrame:
     """The rows, written to and read from a Parquet table in the shared folder."""
     path = shared_path(df.sparkSession, name)
+    if _RECORDS:
+        _RECORDS[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
