@@ -7,7 +7,7 @@ Pairs of all proposed words are tested together, as arrays; the words that hold
 pair, and only they, are merged exactly.
 
 The work is a map over rows without any shuffle. A worker keeps the words it has met, up to
-``CACHED_WORDS``; beyond that it starts afresh, so its memory is bounded.
+``CACHED_WORDS``; beyond that only those of the texts at hand stay, so its memory is bounded.
 
 Defined results: a null text counts as empty and has no tokens; repeated rows and ties give one
 row each; an empty table gives an empty table; other columns of the input, whatever their names,
@@ -27,7 +27,7 @@ from tidelog.llm.common import pieces, text_or_empty
 
 #: Fixed value: how the byte-level pre-tokenizer splits a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED_WORDS = 400_000
+CACHED_WORDS, SHORT_WORD = 400_000, 100
 NEVER = np.int64(1) << 40
 
 
@@ -69,7 +69,10 @@ class Codec:
                 self.byte[t[0]] = i
         canonical = self._canonical(merges)
         self.match = {t: i for i, t in enumerate(self.tokens) if i not in special and (len(t) == 1 or canonical[i])}
-        self.longest = max(map(len, self.match), default=1)
+        self.reach: dict[bytes, int] = {}
+        for t in self.match:
+            if len(t) > 3:
+                self.reach[t[:4]] = max(len(t), self.reach.get(t[:4], 0))
         self.split = regex.compile(WORDS)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known: dict[str, bytes] = {}
@@ -113,9 +116,11 @@ class Codec:
         return ok
 
     def merge(self, word: bytes) -> list[int]:
-        """Exact BPE: a heap of ranked neighbours over a linked list, n log n in the length."""
+        """Exact BPE. Long words by a heap of ranked neighbours over a linked list, n log n in the length."""
         ids = [self.byte[b] for b in word]
         n = len(ids)
+        if n <= SHORT_WORD:
+            return self._merge_short(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.rank.get((ids[i], ids[i + 1])))]
         heapq.heapify(heap)
@@ -134,11 +139,25 @@ class Codec:
                 heapq.heappush(heap, (r[0], h, ids[h], ids[i]))
         return [t for t in ids if t >= 0]
 
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        """Exact BPE over a plain list: the leftmost pair of the least rank merges, its neighbours are ranked anew."""
+        rank, none = self.rank, (1 << 40, -1)
+        pairs = [rank.get(p, none) for p in zip(ids, ids[1:], strict=False)]
+        while pairs and (least := min(pairs)) is not none:
+            i = pairs.index(least)
+            ids[i : i + 2] = [least[1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = rank.get((ids[i - 1], ids[i]), none)
+            if i < len(pairs):
+                pairs[i] = rank.get((ids[i], ids[i + 1]), none)
+        return ids
+
     def propose(self, word: bytes) -> list[int]:
-        """Greedy longest match."""
-        match, longest, out, i, n = self.match, self.longest, [], 0, len(word)
+        """Greedy longest match. The four bytes at a place bound how long a token there can be."""
+        match, reach, out, i, n = self.match, self.reach, [], 0, len(word)
         while i < n:
-            j = min(n, i + longest)
+            j = min(n, i + reach.get(word[i : i + 4], 3))
             while (t := match.get(word[i:j])) is None:
                 j -= 1
             out.append(t)
@@ -166,9 +185,8 @@ class Codec:
         parts = [self.cut.split(t) if self.cut and any(s in t for s in self.special) else [t] for t in texts]
         words = [[self.split.findall(x) if i % 2 == 0 else x for i, x in enumerate(p)] for p in parts]
         new = {w for p in words for ws in p[::2] for w in ws} - self.known.keys()
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known = {}
-            new = {w for p in words for ws in p[::2] for w in ws}
+        if len(self.known) + len(new) > CACHED_WORDS:  # words that came up again stay
+            self.known = {w: self.known[w] for p in words for ws in p[::2] for w in ws if w in self.known}
         self.learn(list(new))
         known = self.known
         return [b"".join([b"".join(map(known.__getitem__, x)) if i % 2 == 0 else np.uint32(self.special[x]).tobytes() for i, x in enumerate(p)]) for p in words]
@@ -208,7 +226,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", text
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        codec = Codec(spec.value)
+        held = spec.value  # one object for all tasks of a worker, and so are the codec and the words it knows
+        codec = held["codec"] = held.get("codec") or Codec(held)
         for batch in batches:
             for part in pieces(batch, 1, 2000, 4 << 20):
                 ids = codec.encode_batch(part.column(1).to_pylist())
