@@ -6,7 +6,8 @@ documents are joined with those of benchmark items, so a question is found again
 names or units have been changed. Hits on one diagonal (the same offset between document and item) form
 an alignment, which counts as a leak if it covers ``ENOUGH`` words (or the whole item, where that is
 shorter) and its slots are consistent: each value of an item's slots must always stand for one value in
-the document, and different values for different ones.
+the document. That is asked of the whole alignment or of a run of ``ENOUGH`` or more hit words in it that edits
+bound; ``ENOUGH`` verbatim words in a row are a leak whatever stands beside them.
 
 The windows of documents are filtered where they are read if the benchmark has at most ``SMALL``
 windows, a bound that is checked before its hashes are broadcast; beyond it both sides are
@@ -92,10 +93,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     theirs = items.select(F.col("item").alias("bitem"), F.col("ith").alias("bith"), F.col("raw").alias("braw"), F.col("word").alias("bword"))
     met = met.join(theirs, F.col("run.item").eqNullSafe(F.col("bitem")) & (F.col("run.ith") == F.col("bith")))
     met = met.withColumn("theirs", F.expr("arrays_zip(slice(braw, run.low - run.shift, size(mine)), slice(bword, run.low - run.shift, size(mine)))"))
-    pairs = "array_distinct(filter(zip_with(theirs, mine, (b, d) -> if(b.`1` = d.`1` and b.`1` in ('<num>', '<unit>', '<name>'), struct(b.`1` as k, b.`0` as b, d.`0` as d), null)), x -> x is not null))"
-    met = once(met.select("id", "doc", "run", "theirs", "mine"), pairs=pairs)
-    consistent = F.expr("size(array_distinct(transform(pairs, x -> struct(x.k, x.b)))) = size(pairs) and size(array_distinct(transform(pairs, x -> struct(x.k, x.d)))) = size(pairs)")
-    good = met.where(consistent).select("id", "doc", F.col("run.item").alias("item"), F.col("run.words").alias("words"), F.expr("forall(pairs, x -> x.b = x.d)").alias("same"))
+    both = "zip_with(theirs, mine, (b, d) -> struct(b.`1` = d.`1` as hit, b.`1` as k, b.`0` as b, d.`0` as d))"
+    met = once(met.select("id", "doc", "run", "theirs", "mine"), both=both)
+    # Each row's stretches: the whole alignment, its runs of hit words, and the most verbatim words in a row.
+    between = lambda test: f"transform(array(filter(sequence(0, size(both) + 1), i -> i = 0 or i = size(both) + 1 or not both[i - 1].{test})), e -> zip_with(slice(e, 1, size(e) - 1), slice(e, 2, size(e) - 1), (x, y) -> struct(x + 1 as at, y - x - 1 as n)))[0]"
+    met = once(met.drop("theirs", "mine"), runs=between("hit"), plain=between("b <=> both[i - 1].d"))
+    whole = "array(struct(both as s, run.words as words))"
+    parts = f"transform(filter(runs, x -> x.n >= {ENOUGH}), x -> struct(slice(both, x.at, x.n) as s, x.n as words))"
+    exact = f"transform(filter(plain, x -> x.n >= {ENOUGH}), x -> struct(slice(both, x.at, x.n) as s, x.n as words))"
+    slots = "array_distinct(transform(filter(x.s, y -> y.hit and y.k in ('<num>', '<unit>', '<name>')), y -> struct(y.k, y.b, y.d)))"
+    met = once(met.select("id", "doc", "run", "both", "runs", "plain"), found=f"transform(concat({whole}, {parts}, {exact}), x -> struct(x.words, {slots} as pairs))")
+    good = met.select("id", "doc", F.col("run.item").alias("item"), F.explode("found").alias("f"))
+    good = good.where("size(array_distinct(transform(f.pairs, x -> struct(x.k, x.b)))) = size(f.pairs)")
+    good = good.select("id", "doc", "item", F.col("f.words").cast("int").alias("words"), F.expr("forall(f.pairs, x -> x.b = x.d)").alias("same"))
     return good.groupBy("id", "doc", "item").agg(F.max("words").alias("words"), F.max("same").alias("same"))
 
 
