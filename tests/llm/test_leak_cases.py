@@ -17,3 +17,13 @@ def test_a_clashing_slot_hides_no_passage(spark):
     gap = ITEM.replace("every goat 4 apples at dawn", "each one 8 ripe pears soon").replace("keeps 6", "keeps 7")
     clash = "A farmer who keeps 8 goats in a small shed. Then the oldest goat eats 9 kg of grass."
     assert leaks(spark, ITEM, [one, merged, gap, clash]) == {0, 1, 2}
+
+
+def test_names_case_and_context(spark):
+    names = "Tom has 5 apples. Tom gives 2 to Ann. Ann then eats 1. How many are left?"
+    changed = "Well. Sam has 7 apples. Sam gives 3 to Eve. Eve then eats 2. How many are left?"
+    mixed = "Well. Sam has 7 apples. Joe gives 3 to Eve. Max then eats 2. How many are left?"
+    assert leaks(spark, names, [changed, mixed, names.upper()]) == {0, 2}
+    short = "What is the capital city of the old kingdom of Spain?"
+    assert leaks(spark, short, [f"Quiz night questions\n{short} Answer below.", "quiz " + short.lower(), short.upper(), short.replace("old", "new")]) == {0, 1, 2}
+    assert leaks(spark, ITEM, [ITEM.upper(), ITEM.lower(), "No mark here " + ITEM]) == {0, 1, 2}

@@ -1,7 +1,9 @@
 """Benchmark decontamination by template canonicalisation, by SQL functions only.
 
 Texts become templates: numbers, units after numbers and names turn into typed placeholders, other
-words into lower case without marks. Windows of ``WINDOW`` template words are hashed and the hashes of
+words into lower case without marks. There are three variants: names are capitalised words within a
+sentence; or nothing is a name, so that case and what stands before don't matter; or all capitalised
+words are names, those that begin a sentence too. Windows of ``WINDOW`` template words are hashed and the hashes of
 documents are joined with those of benchmark items, so a question is found again when only its numbers,
 names or units have been changed. Hits on one diagonal (the same offset between document and item) form
 an alignment, which counts as a leak if it covers ``ENOUGH`` words (or the whole item, where that is
@@ -10,7 +12,7 @@ the document. That is asked of the whole alignment or of a run of ``ENOUGH`` or
 bound; ``ENOUGH`` verbatim words in a row are a leak whatever stands beside them.
 
 The windows of documents are filtered where they are read if the benchmark has at most ``SMALL``
-windows, a bound that is checked before its hashes are broadcast; beyond it both sides are
+windows of all variants, a bound that is checked before its hashes are broadcast; beyond it both sides are
 shuffled by hash. Only documents with enough hits meet their texts again to have slots compared.
 
 Defined results: null texts count as empty; items without words match nothing, items of fewer words
@@ -31,35 +33,45 @@ WINDOW, ENOUGH, SMALL = 8, 13, 500_000
 #: Units that may follow a number.
 UNITS = ("mm", "cm", "m", "km", "in", "ft", "yd", "mi", "mg", "g", "kg", "t", "lb", "oz", "ml", "l", "gal", "s", "sec", "min", "h", "hr", "hour", "hours", "minute", "minutes", "second", "seconds", "day", "days", "week", "weeks", "month", "months", "year", "years", "meter", "meters", "metre", "metres", "mile", "miles", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "degrees")
 #: Control characters that mark names and units while a text is cut; a text's own ones are dropped.
-NAME, UNIT = "\\u0003", "\\u0005"
+NAME, FIRST, UNIT = "\\u0003", "\\u0004", "\\u0005"
+#: Which marks are typed as names, by variant of the template; elsewhere a marked word is a plain one.
+VARIANTS = ((NAME,), (), (NAME, FIRST))
 
 
 def marked_words(text: str) -> str:
     """SQL for the words of a text in lower case without marks; names and units begin with their control character.
 
-    A name is a capitalised word within a sentence, a unit one of ``UNITS`` after a number.
+    A name is a capitalised word within a sentence, ``FIRST`` marks any other capitalised word; a unit is one of ``UNITS`` after a number, in any case.
     """
-    plain = f"replace(replace({text}, '{NAME}', ''), '{UNIT}', '')"
+    plain = f"replace(replace(replace({text}, '{NAME}', ''), '{FIRST}', ''), '{UNIT}', '')"
     named = f"regexp_replace({plain}, '(?<=[^.!?:\\\\s])(\\\\s+)(?=\\\\p{{Lu}}\\\\p{{Ll}}+(?!\\\\p{{L}}))', '$1{NAME}')"
-    units = f"regexp_replace({named}, '(\\\\p{{N}}\\\\s+)({'|'.join(UNITS)})(?!\\\\p{{L}})', '$1{UNIT}$2')"
-    bare = f"regexp_replace(lower({units}), '[^\\\\p{{L}}\\\\p{{N}}\\\\s{NAME}{UNIT}]+', '')"
-    return f"filter(split({bare}, '\\\\s+'), x -> x <> '')"
+    first = f"regexp_replace({named}, '(^|\\\\s)([^\\\\p{{L}}\\\\p{{N}}\\\\s{NAME}]*)(?=\\\\p{{Lu}}\\\\p{{Ll}}+(?!\\\\p{{L}}))', '$1$2{FIRST}')"
+    units = f"regexp_replace({first}, '(\\\\p{{N}}\\\\s+)[{NAME}{FIRST}]?((?i:{'|'.join(UNITS)}))(?!\\\\p{{L}})', '$1{UNIT}$2')"
+    bare = f"regexp_replace(lower({units}), '[^\\\\p{{L}}\\\\p{{N}}\\\\s{NAME}{FIRST}{UNIT}]+', '')"
+    return f"filter(split({bare}, '\\\\s+'), x -> ltrim('{NAME}{FIRST}{UNIT}', x) <> '')"
 
 
-#: SQL for the template word of a marked word x.
-WORD = f"case when left(x, 1) between '0' and '9' then '<num>' when left(x, 1) = '{NAME}' then '<name>' when left(x, 1) = '{UNIT}' then '<unit>' else x end"
+def word_of(names: tuple[str, ...]) -> str:
+    """SQL for the template word of a marked word x, where these marks are names."""
+    typed = "".join(f"when left(x, 1) = '{n}' then '<name>' " for n in names)
+    return f"case when left(x, 1) between '0' and '9' then '<num>' when left(x, 1) = '{UNIT}' then '<unit>' {typed}else ltrim('{NAME}{FIRST}', x) end"
 
 
 def templated(df: DataFrame) -> DataFrame:
-    """Rows with a column text, and: raw (words in lower case without marks), word (template words), th (their hashes)."""
+    """Rows with a column text, and: raw (words in lower case without marks), words (template words by variant), ths (their hashes)."""
     df = once(df, _x=marked_words("text"))
-    df = df.withColumn("raw", F.expr(f"transform(_x, x -> ltrim('{NAME}{UNIT}', x))")).withColumn("word", F.expr(f"transform(_x, x -> {WORD})"))
-    return df.withColumn("th", F.expr(f"transform(_x, x -> xxhash64({WORD}))")).drop("_x")
+    by_variant = ", ".join(f"transform(_x, x -> {word_of(v)})" for v in VARIANTS)
+    return once(df, raw=f"transform(_x, x -> ltrim('{NAME}{FIRST}{UNIT}', x))", words=f"array({by_variant})").drop("_x")
 
 
 def windows(size: str) -> str:
-    """SQL for (place, hash) of each window of that many words; one window if the text is as short."""
-    return f"if(size(th) < {size}, array(), transform(sequence(1, greatest(size(th) - {size} + 1, 1)), i -> struct(i, xxhash64(slice(th, i, {size})) as hash)))"
+    """SQL for (variant, place, hash) of each window of that many words; one window if the text is as short.
+
+    Windows meet those of the same variant.
+    """
+    one = lambda v: f"transform(sequence(1, greatest(size(th1) - {size} + 1, 1)), i -> xxhash64(slice(th{v}, i, {size})))"
+    each = ", ".join(f"transform({one(v)}, (h, i) -> struct({v} as v, i + 1 as i, h as hash))" for v in range(1, len(VARIANTS) + 1))
+    return f"if(size(th1) < {size}, array(), concat({each}))"
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
@@ -67,39 +79,43 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
     th is the hash of the document's text, by which rows of equal keys differ.
     """
-    items = templated(benchmark.select(F.col(item).alias("item"), text_or_empty().alias("text")).distinct()).where("size(word) > 0")
-    items = cut(items.select("item", F.xxhash64("text").alias("ith"), "raw", "word", "th"))
-    sizes = sorted(r[0] for r in items.select(F.least(F.lit(WINDOW), F.size("th"))).distinct().collect())  # WINDOW values at most
-    places = items.select("item", "ith", F.explode(F.concat(*[_of_size(n) for n in sizes] or [_of_size(WINDOW)])).alias("w")).select("item", "ith", "w.i", "w.hash")
+    items = templated(benchmark.select(F.col(item).alias("item"), text_or_empty().alias("text")).distinct()).where("size(raw) > 0")
+    ths = [F.expr(f"transform(words[{v - 1}], x -> xxhash64(x))").alias(f"th{v}") for v in range(1, len(VARIANTS) + 1)]
+    items = cut(items.select("item", F.xxhash64("text").alias("ith"), "raw", "words", *ths))
+    sizes = sorted(r[0] for r in items.select(F.least(F.lit(WINDOW), F.size("th1"))).distinct().collect())  # WINDOW values at most
+    places = items.select("item", "ith", F.explode(F.concat(*[_of_size(n) for n in sizes] or [_of_size(WINDOW)])).alias("w")).select("item", "ith", "w.v", "w.i", "w.hash")
     places = cut(places.withColumnRenamed("i", "j"))
     small = places.count() <= SMALL
 
     slim = docs.select(F.col(key).cast("long").alias("id"), text_or_empty(text).alias("text")).withColumn("doc", F.xxhash64("text"))
-    mine = once(slim.select("id", "doc", "text"), th=f"transform({marked_words('text')}, x -> xxhash64({WORD}))").select("id", "doc", "th")
-    mine = mine.select("id", "doc", F.explode(F.concat(*[F.expr(windows(str(n))) for n in sizes] or [F.expr(windows(str(WINDOW)))])).alias("w")).select("id", "doc", "w.i", "w.hash")
-    hits = mine.join(F.broadcast(places) if small else places, "hash").select("id", "doc", "item", "ith", "i", (F.col("i") - F.col("j")).alias("shift")).distinct()
-    runs = hits.groupBy("id", "doc", "item", "ith", "shift").agg(F.count("*").alias("n"), F.min("i").alias("low"), F.max("i").alias("high"))
-    runs = runs.join(items.select("item", "ith", F.size("th").alias("length")), _same("item", "ith", runs, items), "inner").select(runs["*"], "length")
+    mine = once(slim.select("id", "doc", "text"), _x=marked_words("text"))
+    mine = once(mine.select("id", "doc", "_x"), **{f"th{v}": f"transform(_x, x -> xxhash64({word_of(names)}))" for v, names in enumerate(VARIANTS, 1)}).drop("_x")
+    mine = mine.select("id", "doc", F.explode(F.concat(*[F.expr(windows(str(n))) for n in sizes] or [F.expr(windows(str(WINDOW)))])).alias("w")).select("id", "doc", "w.v", "w.i", "w.hash")
+    hits = mine.join(F.broadcast(places) if small else places, ["hash", "v"]).select("id", "doc", "item", "ith", "v", "i", (F.col("i") - F.col("j")).alias("shift")).distinct()
+    runs = hits.groupBy("id", "doc", "item", "ith", "v", "shift").agg(F.count("*").alias("n"), F.min("i").alias("low"), F.max("i").alias("high"))
+    runs = runs.join(items.select("item", "ith", F.size("th1").alias("length")), _same("item", "ith", runs, items), "inner").select(runs["*"], "length")
     covered = F.least(F.col("n") + WINDOW - 1, F.col("high") - F.col("low") + F.least(F.lit(WINDOW), F.col("length")), F.col("length"))
     runs = runs.withColumn("words", covered).where(F.col("words") >= F.least(F.lit(ENOUGH), F.col("length")))
 
-    able = cut(runs.select("id", "doc", "item", "ith", "shift", "low", "high", "length", "words"))
-    by_doc = able.groupBy("id", "doc").agg(F.collect_list(F.struct("item", "ith", "shift", "low", "high", "length", "words")).alias("runs")).withColumnRenamed("id", "rid").withColumnRenamed("doc", "rdoc")
+    able = cut(runs.select("id", "doc", "item", "ith", "v", "shift", "low", "high", "length", "words"))
+    by_doc = able.groupBy("id", "doc").agg(F.collect_list(F.struct("item", "ith", "v", "shift", "low", "high", "length", "words")).alias("runs")).withColumnRenamed("id", "rid").withColumnRenamed("doc", "rdoc")
     met = slim.join(by_doc, F.col("id").eqNullSafe(F.col("rid")) & (F.col("doc") == F.col("rdoc"))).select("id", "doc", "text", "runs")
-    met = templated(met).select("id", "doc", "raw", "word", F.explode("runs").alias("run"))
-    # Of each alignment only its own stretch of words goes on.
-    stretch = "least(run.high - run.low + least({w}, run.length), run.length)".format(w=WINDOW)
-    met = met.select("id", "doc", "run", F.expr(f"arrays_zip(slice(raw, run.low, {stretch}), slice(word, run.low, {stretch}))").alias("mine"))
-    theirs = items.select(F.col("item").alias("bitem"), F.col("ith").alias("bith"), F.col("raw").alias("braw"), F.col("word").alias("bword"))
+    met = templated(met).select("id", "doc", "raw", "words", F.explode("runs").alias("run"))
+    met = met.withColumn("word", F.expr("words[run.v - 1]"))
+    # Of each alignment only its own stretch of words goes on; of the plain variant, where changed names part it, all that the item spans.
+    begin = "if(run.v = 2, greatest(1, run.shift + 1), run.low)"
+    stretch = f"if(run.v = 2, run.length - ({begin} - run.shift - 1), least(run.high - run.low + least({WINDOW}, run.length), run.length))"
+    met = met.select("id", "doc", "run", F.expr(begin).alias("begin"), F.expr(f"arrays_zip(slice(raw, {begin}, {stretch}), slice(word, {begin}, {stretch}))").alias("mine"))
+    theirs = items.select(F.col("item").alias("bitem"), F.col("ith").alias("bith"), F.col("raw").alias("braw"), F.col("words").alias("bwords"))
     met = met.join(theirs, F.col("run.item").eqNullSafe(F.col("bitem")) & (F.col("run.ith") == F.col("bith")))
-    met = met.withColumn("theirs", F.expr("arrays_zip(slice(braw, run.low - run.shift, size(mine)), slice(bword, run.low - run.shift, size(mine)))"))
+    met = met.withColumn("theirs", F.expr("arrays_zip(slice(braw, begin - run.shift, size(mine)), slice(bwords[run.v - 1], begin - run.shift, size(mine)))"))
     both = "zip_with(theirs, mine, (b, d) -> struct(b.`1` = d.`1` as hit, b.`1` as k, b.`0` as b, d.`0` as d))"
     met = once(met.select("id", "doc", "run", "theirs", "mine"), both=both)
     # Each row's stretches: the whole alignment, its runs of hit words, and the most verbatim words in a row.
     between = lambda test: f"transform(array(filter(sequence(0, size(both) + 1), i -> i = 0 or i = size(both) + 1 or not both[i - 1].{test})), e -> zip_with(slice(e, 1, size(e) - 1), slice(e, 2, size(e) - 1), (x, y) -> struct(x + 1 as at, y - x - 1 as n)))[0]"
     met = once(met.drop("theirs", "mine"), runs=between("hit"), plain=between("b <=> both[i - 1].d"))
     whole = "array(struct(both as s, run.words as words))"
-    parts = f"transform(filter(runs, x -> x.n >= {ENOUGH}), x -> struct(slice(both, x.at, x.n) as s, x.n as words))"
+    parts = f"transform(filter(runs, x -> run.v <> 2 and x.n >= {ENOUGH}), x -> struct(slice(both, x.at, x.n) as s, x.n as words))"
     exact = f"transform(filter(plain, x -> x.n >= {ENOUGH}), x -> struct(slice(both, x.at, x.n) as s, x.n as words))"
     slots = "array_distinct(transform(filter(x.s, y -> y.hit and y.k in ('<num>', '<unit>', '<name>')), y -> struct(y.k, y.b, y.d)))"
     met = once(met.select("id", "doc", "run", "both", "runs", "plain"), found=f"transform(concat({whole}, {parts}, {exact}), x -> struct(x.words, {slots} as pairs))")
@@ -111,7 +127,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
 def _of_size(n: int) -> Column:
     """The windows of items whose windows have n words."""
-    own = f"size(th) = {n}" if n < WINDOW else f"size(th) >= {n}"
+    own = f"size(th1) = {n}" if n < WINDOW else f"size(th1) >= {n}"
     return F.expr(f"if({own}, {windows(str(n))}, array())")
 
 
