@@ -470,7 +470,7 @@ def _(spark, sf_dir):
 
 @query("key_walk", f"WITH {LOG} SELECT record_ord, prev_same_key FROM (SELECT key, record_ord, lag(record_ord) OVER (PARTITION BY key ORDER BY record_ord) AS prev_same_key FROM log WHERE kind <> 'OP') WHERE key = 7 AND record_ord <= 5000")
 def _(spark, sf_dir):
-    return chain.walk(chain.key_chain(log_of(spark, sf_dir).where("key = 7")), "prev_same_key", start=5000).select("record_ord", "prev_same_key")
+    return chain.walk(chain.key_chain(log_of(spark, sf_dir)).where("key = 7"), "prev_same_key", start=5000).select("record_ord", "prev_same_key")
 
 
 @query("shard_merge_set", f"{SHARDED} SELECT s.key, coalesce(max_by(o.value, {{'a': o.shard_ord, 'b': o.sequence}}), s.value) AS value, count(o.key) AS operations FROM states s LEFT JOIN log o ON {AFTER} WHERE s.kind = 'PUT' GROUP BY s.key, s.value")
