@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.plans.errors import LimitExceeded, NotCommitted, NotWritten, OutOfDomain
+from tidelog.plans.errors import CorruptData, LimitExceeded, NotCommitted, NotWritten, OutOfDomain
 
 WRITE, COMMIT, CLEAR = "WRITE", "COMMIT_CELL", "CLEAR"
 PAGE_BITS = 32_768
@@ -66,12 +66,15 @@ def guard_commits(events: DataFrame) -> None:
 
 
 def read_cells(cells: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """Payloads of committed cells; of ``wanted`` cells, an uncommitted one fails the query."""
+    """Payloads of committed cells; of ``wanted`` cells, an uncommitted one fails the query. So does a payload that differs from its checksum."""
     if wanted is None:
-        return cells.where("committed")
-    met = wanted.select("scan", "ch").join(cells, ["scan", "ch"], "left")
-    bad = F.raise_error(F.concat(F.lit(f"[{NotCommitted.__name__}] "), F.to_json(F.struct("scan", "ch"))))
-    return met.where(F.when(F.coalesce("committed", F.lit(False)), F.lit(True)).otherwise(bad.cast("boolean")))
+        met = cells.where("committed")
+    else:
+        met = wanted.select("scan", "ch").join(cells, ["scan", "ch"], "left")
+        bad = F.raise_error(F.concat(F.lit(f"[{NotCommitted.__name__}] "), F.to_json(F.struct("scan", "ch"))))
+        met = met.where(F.when(F.coalesce("committed", F.lit(False)), F.lit(True)).otherwise(bad.cast("boolean")))
+    torn = F.raise_error(F.concat(F.lit(f"[{CorruptData.__name__}] a cell differs from its checksum: "), F.to_json(F.struct("scan", "ch"))))
+    return met.where(F.when(F.col("crc").isNull() | (F.crc32("payload") == F.col("crc")), F.lit(True)).otherwise(torn.cast("boolean")))
 
 
 def status(cells: DataFrame, dims: Dims) -> DataFrame:
@@ -86,36 +89,58 @@ def clear(cells: DataFrame, where: Column | None = None) -> DataFrame:
     return cells.withColumn("committed", F.col("committed") & ~hit).withColumn("crc", F.when(~hit, F.col("crc")))
 
 
-def resume(cells: DataFrame, dims: Dims, sidecar: bool = True) -> DataFrame:
-    """A row: committed and total cells, and what to do: Clean, Partial or, without a sidecar, Restart."""
+def clear_category(cells: DataFrame, category: str, column: str = "category") -> DataFrame:
+    """The cells with one category's commits gone; this also ends its quarantine."""
+    return clear(cells, F.col(column) == category)
+
+
+def cleared_by(cells: DataFrame, category: str, column: str = "category") -> DataFrame:
+    """A row: how many commits clearing the category takes away."""
+    return cells.agg(F.count_if(F.col("committed") & (F.col(column) == category)).alias("cleared"))
+
+
+def resume(cells: DataFrame, dims: Dims, sidecar: bool | None = None) -> DataFrame:
+    """A row: committed and total cells, and what to do.
+
+    None or all committed is Clean, else Partial. Where a sidecar is asked about: Discard it if none or all are
+    committed, else Resume from it; without one Clean or Restart.
+    """
     total = dims.scans * dims.channels
     done = cells.agg(F.count_if("committed").alias("committed"))
-    signal = F.when(F.col("committed").isin(0, total), "Clean").otherwise("Partial" if sidecar else "Restart")
+    whole, part = {None: ("Clean", "Partial"), True: ("Discard", "Resume"), False: ("Clean", "Restart")}[sidecar]
+    signal = F.when(F.col("committed").isin(0, total), whole).otherwise(part)
     return done.select("committed", F.lit(total).cast("long").alias("total"), signal.alias("signal"))
 
 
-def rebuild(cells: DataFrame) -> DataFrame:
-    """The commit map by evidence: committed if, and only if, there is a checksum and the payload has it."""
+def rebuild(cells: DataFrame, strict: bool = False) -> DataFrame:
+    """The commit map by evidence: committed if, and only if, there is a checksum and the payload has it.
+
+    ``strict`` refuses incomplete evidence: a checksum whose cell has no payload.
+    """
+    if strict:
+        bad = F.raise_error(F.concat(F.lit(f"[{CorruptData.__name__}] no payload for a checksum: "), F.to_json(F.struct("scan", "ch"))))
+        cells = cells.where(F.when(F.col("crc").isNull() | F.col("payload").isNotNull(), F.lit(True)).otherwise(bad.cast("boolean")))
     return cells.withColumn("committed", F.coalesce(F.crc32("payload") == F.col("crc"), F.lit(False)))
 
 
-def verify_pages(cells: DataFrame, dims: Dims) -> DataFrame:
-    """Damaged cells by page of the commit map: (page, cells, damaged, action)."""
+def verify_pages(cells: DataFrame, dims: Dims, by: tuple[str, ...] = ()) -> DataFrame:
+    """Damaged cells by page of the commit map, of each category where ``by`` names its column: (page, cells, damaged, action)."""
     page = F.floor(dims.ordinal() / PAGE_BITS)
     damaged = F.col("committed") & ~F.coalesce(F.crc32("payload") == F.col("crc"), F.lit(False))
-    found = cells.groupBy(page.alias("page")).agg(F.count("*").alias("cells"), F.count_if(damaged).alias("damaged"))
+    found = cells.groupBy(*by, page.alias("page")).agg(F.count("*").alias("cells"), F.count_if(damaged).alias("damaged"))
     return found.withColumn("action", F.when(F.col("damaged") > 0, "Quarantine").otherwise("None"))
 
 
-def quarantine(cells: DataFrame, pages: DataFrame, dims: Dims) -> DataFrame:
-    """Cells without those of damaged pages: these fail closed."""
-    bad = pages.where("damaged > 0").select(F.col("page").alias("_bad"))
-    return cells.join(bad, F.floor(dims.ordinal() / PAGE_BITS) == F.col("_bad"), "left_anti")
+def quarantine(cells: DataFrame, dims: Dims, category: str = "category") -> DataFrame:
+    """Cells of sound categories: one damaged page makes its whole category fail closed."""
+    bad = verify_pages(cells, dims, (category,)).where("damaged > 0").select(F.col(category).alias("_bad")).distinct()
+    return cells.join(bad, F.col(category).eqNullSafe(F.col("_bad")), "left_anti")
 
 
 def recovery(cells: DataFrame, action: str, where: Column | None = None) -> DataFrame:
-    """Executes a recovery action."""
-    return {"None": lambda c: c, "Clear": lambda c: clear(c, where), "Quarantine": lambda c: clear(c), "Rebuild": rebuild}[action](cells)
+    """Executes a recovery action on all cells or those of a predicate: quarantined cells are gone, so reading them fails."""
+    hit = F.lit(True) if where is None else where
+    return {"None": lambda c: c, "Clear": lambda c: clear(c, where), "Quarantine": lambda c: c.where(~F.coalesce(hit, F.lit(False))), "Rebuild": rebuild}[action](cells)
 
 
 def changed(events: DataFrame, old: int, new: int) -> DataFrame:

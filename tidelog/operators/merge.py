@@ -63,21 +63,41 @@ def replace_at(log: DataFrame, block_id: int, position: int, key_column: str = "
 
 
 def replace_fixed(log: DataFrame, place: int, next_sequence: int, **new) -> DataFrame:
-    """The log with a fixed-size record replaced in place; it takes a fresh sequence but keeps its place."""
+    """The log with a fixed-size record replaced in place; it takes a fresh sequence but keeps its place. A payload of another size fails the query."""
     hit = F.col("record_ord") == place
+    if "payload" in new:
+        other = F.raise_error(F.lit(f"[{UsageError.__name__}] a fixed record keeps its size"))
+        kept = F.when(~hit | (F.octet_length("payload") == F.octet_length(F.lit(new["payload"]))), F.col("payload")).otherwise(other.cast(log.schema["payload"].dataType))
+        log = log.withColumn("payload", kept)
     for name, value in {**new, "sequence": next_sequence}.items():
         log = log.withColumn(name, F.when(hit, F.lit(value)).otherwise(F.col(name)))
     return log
 
 
+def replace_rewrite(log: DataFrame, place: int, next_sequence: int, key_column: str = "key", **new) -> DataFrame:
+    """The log with a record of any size replaced: the old one is marked dead and the new one appended at the end."""
+    if key_column in new:
+        raise UsageError("a replacement keeps its key", key=new[key_column])
+    end = log.agg((F.max("record_ord") + 1).alias("_end"))
+    fresh = log.where(F.col("record_ord") == place).crossJoin(F.broadcast(end))  # one row by one row
+    for name, value in {**new, "sequence": next_sequence}.items():
+        fresh = fresh.withColumn(name, F.lit(value).cast(log.schema[name].dataType))
+    fresh = fresh.withColumn("record_ord", F.col("_end")).drop("_end")
+    return mark_dead(log, F.col("record_ord") == place).unionByName(fresh.select(*log.columns))
+
+
 def mark_dead(log: DataFrame, where: Column) -> DataFrame:
     """Flags records dead. The flag is advice: reads still see them until the log is defragmented."""
     return log.withColumn("is_dead", F.col("is_dead") | F.coalesce(where, F.lit(False)))
 
 
 def defragment(log: DataFrame) -> DataFrame:
-    """The log without dead records, its block chain linked anew."""
+    """The log without dead records, its block chain linked anew, and its key chain where it has one (operations are on none)."""
     live = log.where(~F.col("is_dead"))
+    if "prev_same_key" in log.columns:
+        on_chain = F.col("kind").isin(PUT, TOMBSTONE)
+        live = with_previous(live.withColumn("_on", on_chain), ["_on", "target_block_id", "key"], "record_ord", "prev_same_key")
+        live = live.withColumn("prev_same_key", F.when(F.col("_on"), F.col("prev_same_key"))).drop("_on")
     return with_previous(live, ["block_id"], "record_ord", "prev_same_block")
 
 

@@ -68,7 +68,7 @@ def semi(spark, sf_dir):
 
 
 def anti(spark, sf_dir):
-    return _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 def full_outer(spark, sf_dir):
@@ -77,12 +77,55 @@ def full_outer(spark, sf_dir):
     return users.join(orders, F.col("user_id") == F.col("o_custkey"), "full").select(F.coalesce("user_id", "o_custkey").alias("id"), "events", "orders")
 
 
+def in_ranges(points: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
+    """Points with each range (low inclusive, high exclusive) that holds them: both sides meet by equality in buckets of a width.
+
+    A range goes to all buckets that it touches, so the width should be that of a usual range.
+    """
+    bucket = F.floor(F.col(value) / width)
+    touched = F.sequence(F.floor(F.col(low) / width), F.ceil(F.col(high) / width) - 1)
+    spread = ranges.where(F.col(low) < F.col(high)).withColumn("_b", F.explode(touched))
+    return points.withColumn("_b", bucket).join(spread, "_b").where((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("_b")
+
+
 def range_join(spark, sf_dir):
-    """Parts in price bands; bands are bucketed so that the join is by equality."""
-    p = _t(spark, sf_dir, "part").select("p_partkey", "p_retailprice", F.floor(F.col("p_retailprice") / 500).alias("b"))
-    bands = spark.range(0, 20).select(F.col("id").alias("band"), (F.col("id") * 250).alias("low"), (F.col("id") * 250 + 250).alias("high"))
-    bands = bands.withColumn("b", F.floor(F.col("low") / 500))
-    return p.join(bands, "b").where("p_retailprice >= low and p_retailprice < high").groupBy("band").agg(F.count("*").alias("parts"))
+    """Parts in overlapping price bands, as many as the highest price needs."""
+    p = _t(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
+    last = p.agg(F.floor(F.max("p_retailprice") / 250).alias("last"))
+    bands = last.select(F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("band")).select("band", (F.col("band") * 250).alias("low"), (F.col("band") * 250 + 400).alias("high"))
+    return in_ranges(p, bands, "p_retailprice", "low", "high", 250).groupBy("band").agg(F.count("*").alias("parts"))
+
+
+def right_outer(spark, sf_dir):
+    late = _t(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_orderkey", "o_custkey")
+    return late.join(_t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "right").select("c_custkey", "o_orderkey")
+
+
+def grouping_sets(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    sets = [[F.col("o_orderstatus"), F.col("o_orderpriority")], [F.col("o_orderpriority")], []]
+    return o.groupingSets(sets, "o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+def bag_operations(spark, sf_dir):
+    a, b = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), _t(spark, sf_dir, "events").select(F.col("user_id").alias("id"))
+    tally = lambda df, op: df.groupBy("id").agg(F.count("*").alias("n")).withColumn("op", F.lit(op))
+    return tally(a.intersectAll(b), "both").union(tally(a.exceptAll(b), "first"))
+
+
+def sliding(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    return e.groupBy(F.window("ts", "1 hour", "30 minutes")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users")).select(F.col("window.start").alias("start"), "n", "users")
+
+
+def approximate(spark, sf_dir):
+    """Sketches beside exact figures: the exact ones, and whether the sketch's are within 5 % (distinct) and 2 % of rank (median)."""
+    rows = _t(spark, sf_dir, "lineitem")
+    q = rows.groupBy("l_returnflag").agg(F.approx_count_distinct("l_orderkey", 0.01).alias("about"), F.count_distinct("l_orderkey").alias("orders"), F.approx_percentile("l_quantity", 0.5, 1000).alias("median"))
+    met = rows.join(F.broadcast(q), "l_returnflag")  # a row for each of a few flags
+    ranks = met.groupBy("l_returnflag", "about", "orders").agg(F.avg((F.col("l_quantity") < F.col("median")).cast("int")).alias("below"), F.avg((F.col("l_quantity") <= F.col("median")).cast("int")).alias("upto"))
+    close = (F.abs(F.col("about") - F.col("orders")) <= 0.05 * F.col("orders")) & (F.col("below") <= 0.52) & (F.col("upto") >= 0.48)
+    return ranks.select("l_returnflag", "orders", close.alias("close"))
 
 
 def asof(spark, sf_dir):
@@ -148,9 +191,14 @@ SUPPLEMENTS = {
     "s_forecast": (forecast, "SELECT CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE) AS revenue FROM lineitem WHERE l_shipdate >= '1994-01-01' AND l_shipdate < '1995-01-01' AND l_discount BETWEEN CAST(0.05 AS DOUBLE) AND CAST(0.07 AS DOUBLE) AND l_quantity < 24"),
     "s_nation_volume": (nation_volume, "SELECT r_name, n_name, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS volume, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2"),
     "s_semi_join": (semi, "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)"),
-    "s_anti_join": (anti, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    "s_anti_join": (anti, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"),
     "s_full_join": (full_outer, "SELECT coalesce(user_id, o_custkey) AS id, events, orders FROM (SELECT user_id, count(*) AS events FROM events GROUP BY 1) FULL JOIN (SELECT o_custkey, count(*) AS orders FROM orders GROUP BY 1) ON user_id = o_custkey"),
-    "s_range_join": (range_join, "SELECT CAST(floor(p_retailprice / 250) AS BIGINT) AS band, count(*) AS parts FROM part WHERE p_retailprice < 5000 GROUP BY 1"),
+    "s_range_join": (range_join, "SELECT band, count(*) AS parts FROM part JOIN (SELECT unnest(range(CAST(max(floor(p_retailprice / 250)) AS BIGINT) + 1)) AS band FROM part) ON p_retailprice >= band * 250 AND p_retailprice < band * 250 + 400 GROUP BY 1"),
+    "s_right_join": (right_outer, "SELECT c_custkey, o_orderkey FROM (SELECT * FROM orders WHERE o_orderstatus = 'P') RIGHT JOIN customer ON o_custkey = c_custkey"),
+    "s_grouping_sets": (grouping_sets, "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderpriority), ())"),
+    "s_bag_operations": (bag_operations, "SELECT id, count(*) AS n, 'both' AS op FROM (SELECT o_custkey AS id FROM orders INTERSECT ALL SELECT user_id FROM events) GROUP BY 1 UNION ALL SELECT id, count(*), 'first' FROM (SELECT o_custkey AS id FROM orders EXCEPT ALL SELECT user_id FROM events) GROUP BY 1"),
+    "s_sliding": (sliding, "SELECT start, count(*) AS n, count(DISTINCT user_id) AS users FROM (SELECT user_id, unnest([time_bucket(INTERVAL 30 minutes, ts), time_bucket(INTERVAL 30 minutes, ts) - INTERVAL 30 minutes]) AS start FROM events) GROUP BY 1"),
+    "s_approximate": (approximate, "SELECT l_returnflag, count(DISTINCT l_orderkey) AS orders, true AS close FROM lineitem GROUP BY 1"),
     "s_asof_join": (asof, "SELECT event_id, user_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS last_purchase FROM events QUALIFY event_type = 'click'"),
     "s_cube": (cube, "SELECT l_returnflag, l_linestatus, count(*) AS n, grouping(l_returnflag, l_linestatus) AS level FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)"),
     "s_rollup": (rollup, "SELECT CAST(year(o_orderdate) AS INTEGER) AS y, o_orderstatus, count(*) AS n FROM orders GROUP BY ROLLUP (year(o_orderdate), o_orderstatus)"),

@@ -26,19 +26,43 @@ def boundaries(log: DataFrame, every: int, by: str = "record_ord") -> DataFrame:
 
 
 def immediate(log: DataFrame, records: int | None = None, nbytes: int | None = None, when: Column | None = None) -> DataFrame:
-    """The log with ``commits``: whether a boundary of records, of bytes or of a predicate, whichever comes, falls on a record."""
+    """The log with ``commits``: whether a boundary falls on a record.
+
+    A boundary falls where so many records or bytes are pending since the last one, whichever rule raised that,
+    or where the predicate holds. Predicate hits part the log into runs that are worked on by themselves. Records
+    are counted by ordinals; bytes depend on where the boundary before fell, so a run's places and lengths, two
+    numbers a record, go by in one task in order.
+    """
     from tidelog.operators.ordered import with_ordinal, with_running_sum
 
-    out, hit = log.withColumn("_all", F.lit(0)), F.lit(False)
-    if records:
-        out = with_ordinal(out, ["_all"], "record_ord", "_n")
-        hit = hit | ((F.col("_n") + 1) % records == 0)
-    if nbytes:
-        out = with_running_sum(out, ["_all"], "record_ord", "stored_len", "_upto")
-        hit = hit | (F.floor(F.col("_upto") / nbytes) < F.floor((F.col("_upto") + F.col("stored_len")) / nbytes))
-    if when is not None:
-        hit = hit | F.coalesce(when, F.lit(False))
-    return out.withColumn("commits", hit).drop("_all", "_n", "_upto")
+    out = log.withColumn("_all", F.lit(0)).withColumn("_hit", F.coalesce(when, F.lit(False)) if when is not None else F.lit(False))
+    out = with_running_sum(out.withColumn("_one", F.col("_hit").cast("int")), ["_all"], "record_ord", "_one", "_run") if when is not None else out.withColumn("_run", F.lit(0))
+    if nbytes is None:
+        hit = F.col("_hit")
+        if records:
+            out = with_ordinal(out, ["_run"], "record_ord", "_n")
+            hit = hit | ((F.col("_n") + 1) % records == 0)
+        return out.withColumn("commits", hit).drop("_all", "_hit", "_one", "_run", "_n")
+
+    def walk(batches):
+        import pyarrow as pa
+
+        run, pending, held = None, 0, 0
+        for batch in batches:
+            found = []
+            for r, place, size in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if r != run:
+                    run, pending, held = r, 0, 0
+                pending, held = pending + 1, held + (size or 0)
+                if held >= nbytes or records and pending >= records:
+                    found.append(place)
+                    pending, held = 0, 0
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["_at"])
+
+    narrow = out.select(F.col("_run").cast("long").alias("_run"), "record_ord", "stored_len")
+    found = narrow.repartition("_run").sortWithinPartitions("_run", "record_ord").mapInArrow(walk, "_at long")
+    met = out.join(found, F.col("record_ord") == F.col("_at"), "left")
+    return met.withColumn("commits", F.col("_hit") | F.col("_at").isNotNull()).drop("_all", "_hit", "_one", "_run", "_at")
 
 
 def recover(log: DataFrame, policy: str = "strict") -> DataFrame:
@@ -86,9 +110,31 @@ def snapshot_lag(log: DataFrame, generation: int) -> DataFrame:
     return log.agg(F.lit(generation).cast("long").alias("pinned"), F.max("generation").cast("long").alias("latest"), F.count_if(late).alias("lag_records"), F.coalesce(F.sum(F.when(late, F.col("stored_len"))), F.lit(0)).alias("lag_bytes"))
 
 
+@dataclass(frozen=True)
+class Cursor:
+    """Where a reader of one log stands. ``log_id`` is the log's own, ``published`` the id of the publication that was read."""
+
+    log_id: str
+    generation: int
+    published: str = ""
+
+
+def follow_events(log: DataFrame, cursor: Cursor, log_id: str, generation: int, published: str = "", block_id: int | None = None) -> tuple[Cursor, DataFrame]:
+    """(the cursor moved on, records after it up to a generation, of one block or all).
+
+    A cursor of another log is refused, and one whose generation was published anew with other contents.
+    """
+    if cursor.log_id != log_id:
+        raise StaleCursor("the cursor belongs to another log", cursor=cursor.log_id, log=log_id)
+    if cursor.generation == generation and cursor.published and published and cursor.published != published:
+        raise StaleCursor("the generation was republished", generation=generation)
+    new = followed(log, cursor.generation, generation)
+    return Cursor(log_id, generation, published), new if block_id is None else new.where(F.col("block_id") == block_id)
+
+
 @dataclass
 class Snapshot:
-    """A reader's handle on a growing log: pinned until it follows. A cursor of another snapshot is refused."""
+    """A reader's handle on a growing log: pinned until it follows."""
 
     log: DataFrame
     generation: int

@@ -250,9 +250,23 @@ def _(spark, sf_dir):
     return visibility.boundaries(log_of(spark, sf_dir), 500)
 
 
-@query("immediate_bytes", f"WITH {LOG}, s AS (SELECT record_ord, stored_len, sum(stored_len) OVER (ORDER BY record_ord) AS upto FROM log) SELECT record_ord FROM s WHERE (upto - stored_len) // 4096 < upto // 4096 OR record_ord % 1000 = 0")
+#: The boundaries one after another: the first record at which enough is pending since the last, or the predicate holds.
+PENDING = f"""WITH RECURSIVE {LOG}, s AS (SELECT record_ord, sum(stored_len) OVER (ORDER BY record_ord) AS upto, row_number() OVER (ORDER BY record_ord) AS n FROM log),
+  b(record_ord, upto, n) AS (
+    SELECT CAST(-1 AS BIGINT), CAST(0 AS HUGEINT), CAST(0 AS BIGINT)
+    UNION ALL
+    SELECT min(s.record_ord), arg_min(s.upto, s.record_ord), arg_min(s.n, s.record_ord) FROM b JOIN s ON s.record_ord > b.record_ord AND ({{}}) HAVING count(*) > 0)
+  SELECT record_ord FROM b WHERE record_ord >= 0"""
+
+
+@query("immediate_records", PENDING.format("s.n - b.n >= 300 OR s.record_ord % 1000 = 0"))
+def _(spark, sf_dir):
+    return visibility.immediate(log_of(spark, sf_dir), records=300, when=F.col("record_ord") % 1000 == 0).where("commits").select("record_ord")
+
+
+@query("immediate_bytes", PENDING.format("s.upto - b.upto >= 4096 OR s.n - b.n >= 400 OR s.record_ord % 1000 = 0"))
 def _(spark, sf_dir):
-    return visibility.immediate(log_of(spark, sf_dir), nbytes=4096, when=F.col("record_ord") % 1000 == 0).where("commits").select("record_ord")
+    return visibility.immediate(log_of(spark, sf_dir), nbytes=4096, records=400, when=F.col("record_ord") % 1000 == 0).where("commits").select("record_ord")
 
 
 @query("recover_truncated", f"WITH {LOG} SELECT record_ord FROM log WHERE record_ord < 800")
@@ -400,11 +414,7 @@ def _(spark, sf_dir):
 @query("store_generations", f"WITH {LOG} SELECT CAST(shard_ord AS BIGINT) AS generation, count(*) AS records, count(*) FILTER (WHERE kind = 'PUT') AS puts FROM log GROUP BY 1")
 def _(spark, sf_dir):
     """Three generations appended to a store and published one by one, then read whole."""
-    kept = LogStore(spark, shared_path(spark, "store"))
-    log = log_of(spark, sf_dir, sharded=True).drop("generation")
-    for shard in range(3):
-        kept.append(log.where(F.col("shard_ord") == shard))
-        kept.sync()
+    kept = three_generations(spark, sf_dir)
     rows = kept.read().groupBy("generation").agg(F.count("*").alias("records"), F.count_if(F.col("kind") == "PUT").alias("puts"))
     kept.unlock()
     return rows
@@ -513,12 +523,153 @@ def _(spark, sf_dir):
     return matrix.copy_cells(source, target).select("scan", "ch", (~F.col("committed")).alias("copied"))
 
 
-@query("matrix_quarantine", f"WITH {CELLS} SELECT count(*) FILTER (WHERE o // 32768 <> 0) AS cells FROM addressed")
+CATEGORY = "['a', 'b', 'c', 'd'][ch % 4 + 1]"
+
+
+def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells, their channels dealt over four categories."""
+    letters = F.array(*[F.lit(x) for x in "abcd"])
+    return matrix.state(cells_log(spark, sf_dir)).withColumn("category", F.element_at(letters, (F.col("ch") % 4 + 1).cast("int")))
+
+
+def damaged(cells: DataFrame) -> DataFrame:
+    """The cells with one committed payload changed, of category b."""
+    return cells.withColumn("payload", F.when((F.col("scan") == 0) & (F.col("ch") == 1), F.lit(b"?")).otherwise(F.col("payload")))
+
+
+@query("matrix_quarantine", f"WITH {CELLS} SELECT {CATEGORY} AS category, count(*) AS cells FROM addressed WHERE ch % 4 <> 1 GROUP BY 1")
+def _(spark, sf_dir):
+    """One damaged cell closes its whole category."""
+    cells = damaged(categories(spark, sf_dir))
+    return matrix.quarantine(cells, matrix.Dims(10_000_000, 64, 10**12)).groupBy("category").agg(F.count("*").alias("cells"))
+
+
+@query("matrix_category_pages", f"WITH {CELLS} SELECT {CATEGORY} AS category, o // 32768 AS page, count(*) AS cells, count(*) FILTER (WHERE o = 1) AS damaged, CASE WHEN count(*) FILTER (WHERE o = 1) > 0 THEN 'Quarantine' ELSE 'None' END AS action FROM addressed GROUP BY 1, 2")
+def _(spark, sf_dir):
+    return matrix.verify_pages(damaged(categories(spark, sf_dir)), matrix.Dims(10_000_000, 64, 10**12), ("category",))
+
+
+@query("matrix_recovery_actions", f"WITH {CELLS} SELECT a AS action, count(*) FILTER (WHERE a <> 'Quarantine' OR ch % 4 <> 1) AS cells, count(*) FILTER (WHERE o % 7 <> 0 AND CASE a WHEN 'None' THEN true WHEN 'Rebuild' THEN o <> 1 ELSE ch % 4 <> 1 END) AS committed FROM addressed, (VALUES ('None'), ('Clear'), ('Quarantine'), ('Rebuild')) t(a) GROUP BY 1")
+def _(spark, sf_dir):
+    cells, own = damaged(categories(spark, sf_dir)), F.col("category") == "b"
+    parts = [matrix.recovery(cells, a, own).agg(F.lit(a).alias("action"), F.count("*").alias("cells"), F.count_if("committed").alias("committed")) for a in ("None", "Clear", "Quarantine", "Rebuild")]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query("matrix_cleared_count", f"WITH {CELLS} SELECT count(*) FILTER (WHERE o % 7 <> 0) AS cleared FROM addressed WHERE ch % 4 = 2")
+def _(spark, sf_dir):
+    return matrix.cleared_by(categories(spark, sf_dir), "c")
+
+
+@query("matrix_sidecar_resume", f"WITH {CELLS}, n AS (SELECT count(*) AS total, count(*) FILTER (WHERE o % 7 <> 0) AS part FROM addressed) SELECT s.sidecar, s.signal, CASE WHEN s.whole THEN 0 ELSE part END AS committed, total FROM n, (VALUES (true, false, 'Resume'), (false, false, 'Restart'), (true, true, 'Discard'), (false, true, 'Clean')) s(sidecar, whole, signal)")
+def _(spark, sf_dir):
+    cells = matrix.state(cells_log(spark, sf_dir))
+    dims = matrix.Dims(read(spark, sf_dir, "embeddings").count(), 64, 10**12)
+    parts = [matrix.resume(c, dims, sidecar).withColumn("sidecar", F.lit(sidecar)) for c in (cells, matrix.clear(cells)) for sidecar in (True, False)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("matrix_flags", "SELECT * FROM (VALUES ('gain', CAST(NULL AS BIGINT), true), ('clipped', CAST(3 AS BIGINT), false)) t(name, ch, value)")
+def _(spark, sf_dir):
+    flags = spark.createDataFrame([("gain", None, False), ("clipped", 3, True)], "name string, ch long, value boolean")
+    return matrix.set_flags(matrix.set_flags(flags, "gain", None, True), "clipped", 3, False)
+
+
+@query("record_at", f"WITH {LOG} SELECT record_ord, key, kind FROM log WHERE record_ord = 123")
+def _(spark, sf_dir):
+    return scan.record_at(log_of(spark, sf_dir), 123).select("record_ord", "key", "kind")
+
+
+@query("byte_range", "SELECT event_id AS record_ord, props[2:5] AS part FROM events WHERE strlen(props) >= 5")
+def _(spark, sf_dir):
+    log = log_of(spark, sf_dir).where("stored_len >= 5").withColumn("raw", F.col("payload").cast("binary"))
+    return log.select("record_ord", F.decode(scan.byte_range("raw", 1, 4), "UTF-8").alias("part"))
+
+
+@query("key_encoding", "SELECT o_orderkey, '01000000' AS block, o_custkey AS key FROM orders")
+def _(spark, sf_dir):
+    """Index keys, taken apart again."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keys = [codec.encode_key(1, ("i64",), (k,)) for k in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k[:4].hex() for k in keys]), pa.array([int.from_bytes(k[4:], "little", signed=True) for k in keys], pa.int64())], ["o_orderkey", "block", "key"])
+
+    return read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").mapInArrow(run, "o_orderkey long, block string, key long")
+
+
+@query("blob_round_trip", "SELECT doc_id, strlen(text) AS bytes, sha256(text) AS digest FROM documents")
+def _(spark, sf_dir):
+    """Texts as chunked blobs and back."""
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        for batch in batches:
+            back = [codec.from_chunks(codec.to_chunks((t or "").encode(), 1 << 12)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(b) for b in back], pa.int64()), pa.array([hashlib.sha256(b).hexdigest() for b in back])], ["doc_id", "bytes", "digest"])
+
+    return read(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, bytes long, digest string")
+
+
+def three_generations(spark: SparkSession, sf_dir: str) -> LogStore:
+    kept = LogStore(spark, shared_path(spark, "store"))
+    log = log_of(spark, sf_dir, sharded=True).drop("generation")
+    for shard in range(3):
+        kept.append(log.where(F.col("shard_ord") == shard))
+        kept.sync()
+    return kept
+
+
+@query("store_compact", f"WITH {LOG} SELECT 'read ' || g AS what, count(*) AS records, CAST(sum(record_ord) AS BIGINT) AS places FROM log, range(4) t(g) WHERE shard_ord <= g GROUP BY g UNION ALL SELECT 'follow ' || g, count(*), CAST(sum(record_ord) AS BIGINT) FROM log, range(2) t(g) WHERE shard_ord > g GROUP BY g UNION ALL SELECT 'follow 2', 0, NULL")
+def _(spark, sf_dir):
+    """Three generations, compacted: what readers pinned at each see, and what following from each returns."""
+    kept = three_generations(spark, sf_dir)
+    kept.compact_files()
+    kept.vacuum()
+    tally = lambda df, what: df.agg(F.lit(what).alias("what"), F.count("*").alias("records"), F.sum("record_ord").alias("places"))
+    parts = [tally(kept.read(g), f"read {g}") for g in range(4)] + [tally(kept.follow(g)[1], f"follow {g}") for g in range(3)]
+    kept.unlock()
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+@query("store_restore", f"WITH {LOG} SELECT CAST(shard_ord AS BIGINT) AS generation, count(*) AS records FROM log WHERE shard_ord <= 1 GROUP BY 1 UNION ALL SELECT 2, 1")
+def _(spark, sf_dir):
+    """Compacted, restored to an earlier generation, and written on."""
+    kept = three_generations(spark, sf_dir)
+    kept.compact_files()
+    kept.restore(1)
+    kept.append(log_of(spark, sf_dir).drop("generation").limit(1))
+    kept.sync()
+    rows = kept.read().groupBy("generation").agg(F.count("*").alias("records"))
+    kept.unlock()
+    return rows
+
+
+@query("follow_cursor", f"WITH {LOG} SELECT record_ord FROM log WHERE generation = 2 AND block_id = 30")
+def _(spark, sf_dir):
+    cursor = visibility.Cursor("events", 1)
+    return visibility.follow_events(log_of(spark, sf_dir), cursor, "events", 2, block_id=30)[1].select("record_ord")
+
+
+@query("replace_rewrite", f"WITH {LOG} SELECT record_ord, key, value, record_ord = 10 AS is_dead FROM log UNION ALL SELECT max(record_ord) + 1, any_value(key) FILTER (WHERE record_ord = 10), 7.5, false FROM log")
+def _(spark, sf_dir):
+    return merge.replace_rewrite(log_of(spark, sf_dir), 10, 10**6, value=7.5).select("record_ord", "key", "value", "is_dead")
+
+
+@query("defragment_key_chain", f"WITH {LOG} SELECT record_ord, CASE WHEN kind <> 'OP' THEN lag(record_ord) OVER (PARTITION BY kind <> 'OP', key ORDER BY record_ord) END AS prev_same_key FROM log WHERE record_ord % 10 <> 0")
 def _(spark, sf_dir):
-    """One damaged cell closes its whole page."""
-    dims = matrix.Dims(10_000_000, 64, 10**12)
-    cells = matrix.state(cells_log(spark, sf_dir)).withColumn("payload", F.when((F.col("scan") == 0) & (F.col("ch") == 1), F.lit(b"?")).otherwise(F.col("payload")))
-    return matrix.quarantine(cells, matrix.verify_pages(cells, dims), dims).agg(F.count("*").alias("cells"))
+    log = merge.mark_dead(log_of(spark, sf_dir), F.col("record_ord") % 10 == 0)
+    chained = chain.key_chain(log).select("record_ord", "prev_same_key")
+    log = log.join(chained, "record_ord", "left")
+    return merge.defragment(log).select("record_ord", "prev_same_key")
 
 
 @query("entries_for_key", "SELECT turn AS record_ord, strlen(text) AS byte_len, CAST(coalesce(sum(strlen(text)) OVER (ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset FROM conversations WHERE conv_id = 3")

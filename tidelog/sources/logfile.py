@@ -20,10 +20,12 @@ from dataclasses import dataclass
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, InputPartition, WriterCommitMessage
 
 from tidelog.plans.errors import CorruptData
+from tidelog.plans.paths import write_new
 
 MAGIC = b"TIDELOG1"
 HEAD = "<IHBxIQII"
 HEAD_SIZE = struct.calcsize(HEAD)
+BATCH_BYTES, BATCH_ROWS = 1 << 22, 8192
 KINDS = ("PUT", "OP", "TOMBSTONE", "META", "COMMIT")
 SCHEMA = "block_id long, block_version int, kind string, shard_ord int, sequence long, record_ord long, stored_len long, checksum long, payload binary, file string"
 
@@ -39,6 +41,7 @@ def frame(block: int, version: int, kind: str, shard: int, sequence: int, payloa
 
 
 def manifests(path: str) -> list[dict]:
+    """The published manifests in order, from the last that voids its predecessors on."""
     from pyarrow import fs
 
     store, root = _open(path)
@@ -48,9 +51,24 @@ def manifests(path: str) -> list[dict]:
         if f.base_name.endswith(".json"):
             with store.open_input_stream(f.path) as s:
                 out.append(json.loads(s.read()))
+                if out[-1].get("overwrite"):
+                    out = out[-1:]
     return out
 
 
+def publish(path: str, body: dict) -> int:
+    """Writes a manifest under the next free number; of writers that want one number, one gets it and the others the next."""
+    from pyarrow import fs
+
+    store, root = _open(path)
+    store.create_dir(f"{root}/_manifests", recursive=True)
+    taken = [f.base_name for f in store.get_file_info(fs.FileSelector(f"{root}/_manifests")) if f.base_name.endswith(".json")]
+    number = max((int(name[:-5]) + 1 for name in taken), default=0)
+    while not write_new(store, f"{root}/_manifests/{number:012d}.json", json.dumps({**body, "generation": number}).encode()):
+        number += 1
+    return number
+
+
 @dataclass
 class FilePart(InputPartition):
     file: str
@@ -83,17 +101,29 @@ class LogReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        parts = [FilePart(f, i) for i, m in enumerate(manifests(self.path)) if self.upto is None or i <= self.upto for f in m["files"]]
+        parts = [FilePart(f, m["generation"]) for m in manifests(self.path) if self.upto is None or m["generation"] <= self.upto for f in m["files"]]
         return parts or [FilePart("", -1)]
 
     def read(self, partition):
+        """Record batches of about ``BATCH`` bytes or records."""
         if not partition.file:
             return
+        rows, held = [], 0
+        for row in self.records(partition.file):
+            rows.append(row)
+            held += row[6]
+            if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                yield _batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield _batch(rows)
+
+    def records(self, file: str):
         store, root = _open(self.path)
-        with store.open_input_file(f"{root}/{partition.file}") as f:
+        with store.open_input_file(f"{root}/{file}") as f:
             size = f.size()
             if f.read(len(MAGIC)) != MAGIC:
-                raise CorruptData("not a log file", file=partition.file)
+                raise CorruptData("not a log file", file=file)
             at, n = len(MAGIC), 0
             while at < size:
                 head = f.read_at(HEAD_SIZE, at)
@@ -104,18 +134,27 @@ class LogReader(DataSourceReader):
                 if not whole:
                     if self.tolerant:
                         return
-                    raise CorruptData("a record is torn", file=partition.file, at=at)
+                    raise CorruptData("a record is torn", file=file, at=at)
                 if self.block is None or block == self.block:
                     payload = f.read_at(length, at + HEAD_SIZE)
                     if zlib.crc32(payload) != crc:
                         if self.tolerant:
                             return
-                        raise CorruptData("a record differs from its checksum", file=partition.file, at=at)
-                    yield block, version, KINDS[kind], shard, sequence, n, length, crc, payload, partition.file
+                        raise CorruptData("a record differs from its checksum", file=file, at=at)
+                    yield block, version, KINDS[kind], shard, sequence, n, length, crc, payload, file
                 at += HEAD_SIZE + length
                 n += 1
 
 
+def _batch(rows: list[tuple]):
+    import pyarrow as pa
+
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    fields = [x.split() for x in SCHEMA.split(", ")]
+    columns = [pa.array(c, kinds[kind]) for c, (_, kind) in zip(zip(*rows, strict=True), fields, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, [name for name, _ in fields])
+
+
 class LogWriter(DataSourceArrowWriter):
     """Takes block_id, block_version, kind, shard_ord, sequence and payload; other columns aren't stored."""
 
@@ -136,19 +175,8 @@ class LogWriter(DataSourceArrowWriter):
         return Written(name, records, nbytes)
 
     def commit(self, messages):
-        from pyarrow import fs
-
-        store, root = _open(self.path)
-        store.create_dir(f"{root}/_manifests", recursive=True)
-        if self.overwrite:
-            for f in store.get_file_info(fs.FileSelector(f"{root}/_manifests")):
-                store.delete_file(f.path)
-        number = len(manifests(self.path))
-        body = {"id": uuid.uuid4().hex, "generation": number, "files": [m.file for m in messages if m.records], "records": sum(m.records for m in messages), "bytes": sum(m.nbytes for m in messages)}
-        temp = f"{root}/_manifests/.{body['id']}"
-        with store.open_output_stream(temp) as out:
-            out.write(json.dumps(body).encode())
-        store.move(temp, f"{root}/_manifests/{number:012d}.json")
+        body = {"id": uuid.uuid4().hex, "overwrite": self.overwrite, "files": [m.file for m in messages if m.records], "records": sum(m.records for m in messages), "bytes": sum(m.nbytes for m in messages)}
+        publish(self.path, body)
 
     def abort(self, messages):
         store, root = _open(self.path)

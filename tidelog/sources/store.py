@@ -2,19 +2,23 @@
 
 ``append`` and ``flush`` stage data that no reader sees; ``sync`` publishes it by moving one small file
 into place. Readers read the pointer once and are pinned to its generation until they follow.
+
+Every row is written with the generation that will publish it, so all files are read by one reader, whatever
+their number, compaction keeps what each row belongs to, and a reader pinned before it reads the same after it.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.plans.errors import Locked, StaleCursor, UsageError
-from tidelog.plans.spec import Format
+from tidelog.plans.paths import write_new
+from tidelog.plans.spec import Format, with_codes
 
 
 class LogStore:
@@ -47,35 +51,65 @@ class LogStore:
         return self._read("_published.json") or {"generation": -1, "paths": [], "records": 0, "schema_hash": self.form.schema_hash() if self.form else 0}
 
     def lock(self, steal: bool = False) -> None:
-        """Becomes the writer. Another's lock is broken only if the caller says so."""
-        held = self._read("_lock.json")
-        if held and held["owner"] != self.owner and not steal:
-            raise Locked("another writer holds the log", owner=held["owner"])
-        self._write("_lock.json", {"owner": self.owner})
+        """Becomes the writer; of several at once one does. Another's lock is broken only if the caller says so."""
+        body = json.dumps({"owner": self.owner}).encode()
+        while not write_new(self.fs, f"{self.root}/_lock.json", body):
+            held = self._read("_lock.json")
+            if held and held["owner"] == self.owner:
+                return
+            if held and not steal:
+                raise Locked("another writer holds the log", owner=held["owner"])
+            if held:
+                self.fs.delete_file(f"{self.root}/_lock.json")
 
     def unlock(self) -> None:
         if (held := self._read("_lock.json")) and held["owner"] == self.owner:
             self.fs.delete_file(f"{self.root}/_lock.json")
 
     def opened_after_crash(self) -> bool:
-        """Whether a writer left its lock behind."""
+        """Whether another writer's lock is there: it was left behind, or that writer is at work still."""
         held = self._read("_lock.json")
         return held is not None and held["owner"] != self.owner
 
     # Writing.
 
-    def append(self, rows: DataFrame) -> str:
-        """Stages rows; nothing is visible yet. Null keys are refused by reads, versions by their blocks."""
+    def append(self, rows: DataFrame, block: str | None = None, indexed: bool = False) -> str:
+        """Stages rows; nothing is visible yet.
+
+        Rows of a declared block are held to it: null keys and keys outside a finite domain fail the write, and an
+        indexed block is only written by ``put``.
+        """
+        if block is not None:
+            rows = self._checked(rows, block, indexed)
         self.lock()
-        if self.form and (p := self.pointer())["schema_hash"] not in (0, self.form.schema_hash()):
+        p = self.pointer()
+        if self.form and p["schema_hash"] not in (0, self.form.schema_hash()):
             raise UsageError("the log was written by another schema", stored=p["schema_hash"])
         path = f"{self.path}/data/{uuid.uuid4().hex}"
+        rows = rows.withColumn("generation", F.lit(p["generation"] + 1).cast("long"))
         rows.write.parquet(path)
-        self.staged.append(path)
+        self.staged.append({"path": path, "low": p["generation"] + 1, "high": p["generation"] + 1, "schema": rows.schema.jsonValue()})
         return path
 
+    def put(self, rows: DataFrame, block: str) -> str:
+        """Stages rows of an indexed block."""
+        return self.append(rows, block, indexed=True)
+
+    def _checked(self, rows: DataFrame, block: str, indexed: bool) -> DataFrame:
+        if not self.form:
+            raise UsageError("blocks need a format", block=block)
+        b = self.form.block(block)
+        if b.indexed != indexed:
+            raise UsageError("an indexed block is written by put, others by append", block=block)
+        for k in b.keys:
+            bad = F.raise_error(F.lit(f"[{UsageError.__name__}] a key of {block} is null"))
+            rows = rows.withColumn(k, F.when(F.col(k).isNull(), bad.cast(rows.schema[k].dataType)).otherwise(F.col(k)))
+        return with_codes(rows, b).drop("code") if b.domain else rows
+
     def delete(self, keys: DataFrame, sequence_from: int) -> str:
-        """Stages a tombstone for each key; they are numbered from a sequence on."""
+        """Stages a tombstone for each key; they are numbered from a sequence on. A format with key chains refuses."""
+        if self.form and self.form.keyed_chain:
+            raise UsageError("a delete would leave the key chain; append a linked tombstone")
         from tidelog.operators.ordered import with_ordinal
 
         numbered = with_ordinal(keys.select("key").distinct().withColumn("_g", F.lit(0)), ["_g"], "key", "_n")
@@ -89,12 +123,16 @@ class LogStore:
         """Publishes what is staged as a generation."""
         self.lock()
         p = self.pointer()
-        paths = p["paths"] + [{"path": x, "generation": p["generation"] + 1} for x in self.staged]
-        records = p["records"] + sum(self.spark.read.parquet(x).count() for x in self.staged)
-        self._write("_published.json", {"generation": p["generation"] + 1, "paths": paths, "records": records, "schema_hash": self.form.schema_hash() if self.form else 0, "id": uuid.uuid4().hex})
+        if self.staged and self.staged[0]["low"] != p["generation"] + 1:
+            raise StaleCursor("another writer published since", staged=self.staged[0]["low"], published=p["generation"])
+        added = self._rows(self.staged).count() if self.staged else 0
+        self._publish(p, p["paths"] + self.staged, p["generation"] + 1, p["records"] + added)
         self.staged = []
         return p["generation"] + 1
 
+    def _publish(self, p: dict, paths: list[dict], generation: int, records: int) -> None:
+        self._write("_published.json", {**p, "generation": generation, "paths": paths, "records": records, "schema_hash": self.form.schema_hash() if self.form else 0, "id": uuid.uuid4().hex})
+
     def immediate(self, rows: DataFrame, boundary: Column | None = None, every: int = 1) -> int | None:
         """Appends, and publishes if so many batches are staged or a row satisfies the predicate."""
         self.append(rows)
@@ -104,21 +142,26 @@ class LogStore:
     def rollback(self) -> None:
         """Drops what was staged."""
         for x in self.staged:
-            self.fs.delete_dir(self.root + x[len(self.path) :])
+            self.fs.delete_dir(self.root + x["path"][len(self.path) :])
         self.staged = []
 
     # Reading.
 
+    def _rows(self, paths: list[dict]) -> DataFrame:
+        """The rows of data folders, by one reader; fields that older ones lack are null."""
+        known = {f.name: f for x in paths for f in reversed(T.StructType.fromJson(x["schema"]).fields)}
+        return self.spark.read.schema(T.StructType(list(known.values()))).parquet(*[x["path"] for x in paths])
+
     def read(self, generation: int | None = None) -> DataFrame:
         """The log as of a generation, the published one by default, with its generation column."""
         p = self.pointer()
         upto = p["generation"] if generation is None else generation
         if upto > p["generation"]:
             raise StaleCursor("the generation isn't published", wanted=upto, published=p["generation"])
-        parts = [self.spark.read.parquet(x["path"]).withColumn("generation", F.lit(x["generation"]).cast("long")) for x in p["paths"] if x["generation"] <= upto]
-        if not parts:
+        paths = [x for x in p["paths"] if x["low"] <= upto]
+        if not paths:
             raise UsageError("the log is empty")
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        return self._rows(paths).where(F.col("generation") <= upto)
 
     def follow(self, since: int) -> tuple[int, DataFrame | None]:
         """(published generation, rows after a generation)."""
@@ -126,22 +169,46 @@ class LogStore:
         return (now, self.read().where(F.col("generation") > since)) if now > since else (now, None)
 
     def restore(self, generation: int) -> None:
-        """Makes an earlier generation the published one."""
+        """Makes an earlier generation the published one; compacted files that go beyond it are rewritten."""
+        rows = self.read(generation)
         self.lock()
         p = self.pointer()
-        kept = [x for x in p["paths"] if x["generation"] <= generation]
-        self._write("_published.json", p | {"generation": generation, "paths": kept, "records": sum(self.spark.read.parquet(x["path"]).count() for x in kept)})
+        kept = [x for x in p["paths"] if x["low"] <= generation]
+        if any(x["high"] > generation for x in kept):
+            kept = [self._rewritten(rows, kept)]
+        self._publish(p, kept, generation, rows.count())
 
-    def compact_files(self, files: int = 1) -> int:
-        """Rewrites the published rows into few files and publishes that; logically nothing changes."""
+    def compact_files(self, file_bytes: int = 256 << 20) -> int:
+        """Rewrites the published rows into files of about so many bytes and publishes that as a generation without rows of its own.
+
+        Every row keeps its generation, so what a pinned reader reads and what following returns stay the
+        same; the old files stay until ``vacuum``.
+        """
         rows = self.read()
         self.lock()
         p = self.pointer()
-        path = f"{self.path}/data/{uuid.uuid4().hex}"
-        rows.drop("generation").coalesce(files).write.parquet(path)
-        self._write("_published.json", p | {"generation": p["generation"] + 1, "paths": [{"path": path, "generation": p["generation"] + 1}]})
+        self._publish(p, [self._rewritten(rows, p["paths"], file_bytes)], p["generation"] + 1, p["records"])
         return p["generation"] + 1
 
+    def _rewritten(self, rows: DataFrame, paths: list[dict], file_bytes: int = 256 << 20) -> dict:
+        from pyarrow import fs
+
+        size = sum(f.size or 0 for x in paths for f in self.fs.get_file_info(fs.FileSelector(self.root + x["path"][len(self.path) :])))
+        path = f"{self.path}/data/{uuid.uuid4().hex}"
+        rows.repartition(max(1, -(-size // file_bytes))).write.parquet(path)
+        return {"path": path, "low": min(x["low"] for x in paths), "high": max(x["high"] for x in paths), "schema": rows.schema.jsonValue()}
+
+    def vacuum(self) -> int:
+        """Deletes data folders that the published generation doesn't read; how many. Readers of older pointers must have moved on."""
+        from pyarrow import fs
+
+        self.lock()
+        live = {x["path"].rsplit("/", 1)[-1] for x in self.pointer()["paths"] + self.staged}
+        old = [f.path for f in self.fs.get_file_info(fs.FileSelector(f"{self.root}/data", allow_not_found=True)) if f.base_name not in live]
+        for x in old:
+            self.fs.delete_dir(x)
+        return len(old)
+
 
 def header_slots(slots: dict[str, bytes], name: str, value: bytes | None, sealed: frozenset[str] = frozenset()) -> dict[str, bytes]:
     """The editable header after a write or removal; sealed slots are refused."""
