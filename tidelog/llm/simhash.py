@@ -13,13 +13,17 @@ corpus and have every document search every tree, which is quadratic. A shard of
 spanning forest is kept, so what leaves a shard is linear in its members; components of the whole
 come from rounds of large-star and small-star steps on links alone, checkpointed.
 
-``near_dedup`` (pipeline stage): word shingles of five, similarity (Jaccard) of 0.8 or more. At that
-similarity 64-bit fingerprints differ in up to about 14 bits, where pigeonhole shards no longer
-help, so shards are keyed by the eight least shingle hashes of a text: two texts of similarity 0.8
-share none of them with probability 0.2**8. A shard's BK-tree of the texts that stay is searched
-within ``WIDE`` bits and what it returns is verified by a sketch of the least ``SKETCH`` shingle
-hashes (the exact Jaccard similarity up to that many shingles, beyond it an estimate with a standard
-error of 0.018 at 0.8).
+``near_dedup`` (pipeline stage): word shingles of five, similarity (Jaccard) of 0.8 or more, and of each
+component of similar texts the first one stays. At that similarity 64-bit fingerprints differ in 10
+bits on average, with a deviation of 3, where pigeonhole shards no longer help, so shards are keyed by the
+eight least shingle hashes of a text: two texts of similarity 0.8 share none of them with probability
+0.2**8. A shard's BK-tree is searched within ``WIDE`` bits, which is five deviations; texts of few shingles,
+whose fingerprints part further, meet all others of few. What a search returns is verified by the least
+``SKETCH`` shingle hashes, which are all hashes of most texts; of longer texts they are an estimate, and
+where that comes within ``NEAR`` of the threshold (four and a half standard errors) the pair is verified by
+all shingle hashes of both texts. Of a shard's links a spanning forest is kept. Shards of more than ``shard``
+texts are cut into pieces; then those in which links leave more than one component compare the pieces with each
+other, texts of different components only, so the size of pieces never changes the result.
 
 Defined results: null texts count as empty; texts without words have the fingerprint zero and are
 linked like any other; repeated rows and ties give a row each; a null key gives a row whose key is
@@ -37,9 +41,9 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import cut, kept_table, partitions, pieces, text_or_empty
 
-BITS, RADIUS, WIDE = 64, 3, 18
+BITS, RADIUS, WIDE = 64, 3, 24
 SHARD = 20_000
-ANCHORS, SKETCH = 8, 512
+ANCHORS, SKETCH, NEAR, FEW = 8, 512, 0.08, 32
 
 
 def shingles(text: str, words: int) -> list[bytes]:
@@ -269,136 +273,181 @@ def sketch(hashes: np.ndarray, least: int = SKETCH) -> np.ndarray:
     return np.unique((hashes >> np.uint64(32)).astype(np.uint32))[:least]
 
 
-def similarity(a: np.ndarray, b: np.ndarray, least: int = SKETCH) -> float:
-    """Jaccard similarity by sketches: of all hashes if neither is full, else of the union's least ones."""
+def similarity(a: np.ndarray, b: np.ndarray, least: int = SKETCH) -> tuple[float, bool]:
+    """(Jaccard similarity by sketches, whether it is exact): of all hashes if neither is full, else of the union's least ones."""
     if not len(a) or not len(b):
-        return float(len(a) == len(b))
+        return float(len(a) == len(b)), True
     both = np.concatenate((a, b))
     both.sort()
     twice = np.flatnonzero(both[1:] == both[:-1])
     union, shared = len(both) - len(twice), len(twice)
-    if (len(a) >= least or len(b) >= least) and union > least:
+    if len(a) < least and len(b) < least:
+        return shared / union, True
+    if union > least:
         once = np.ones(len(both), dtype=bool)
         once[twice] = False
         shared, union = int((both[twice] <= both[once][least - 1]).sum()), least
-    return shared / union
+    return shared / union, False
 
 
-def followers(prints: np.ndarray, sketches: list[np.ndarray], alike: float, wide: int, block: int = 256) -> list[int]:
-    """The members, in order, that are alike an earlier one that stays.
+def linked(prints: np.ndarray, sketches: list[np.ndarray], alike: float, wide: int, label: np.ndarray | None = None, side: np.ndarray | None = None, block: int = 256) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(links, unsure): pairs of members.
 
-    Those that stay are in a BK-tree, searched within the wide radius for a block of members at once;
-    sketches verify what it returns, nearest first.
+    Links connect whatever members are alike for sure, as a spanning forest; unsure ones are the pairs that
+    sketches can't decide and links leave apart. Members of one label are connected from the start, those of one
+    side aren't compared.
     """
-    stay: list[int] = []
-    tree, gone = None, []
-    for begin in range(0, len(prints), block):
-        mine = np.arange(begin, min(begin + block, len(prints)))
-        near: list[list[tuple[int, int]]] = [[] for _ in mine]
-        if stay:
-            if tree is None:
-                values, which = np.unique(prints[stay], return_inverse=True)
-                tree, holders = BKTree(values), [[] for _ in values]
-                for k, v in enumerate(which.tolist()):
-                    holders[v].append(stay[k])
-            for q, node, d in tree.search(prints[mine], wide):
-                for x, y, c in zip(q.tolist(), node.tolist(), d.tolist(), strict=True):
-                    near[x] += [(c, h) for h in holders[y]]
-        fresh: list[int] = []
-        for x, i in enumerate(mine.tolist()):
-            found = sorted(near[x])
-            if fresh:
-                d = np.bitwise_count(prints[fresh] ^ prints[i])
-                found = sorted(found + [(int(d[k]), fresh[k]) for k in np.flatnonzero(d <= wide)])
-            if any(similarity(sketches[i], sketches[j]) >= alike for _, j in found):
-                gone.append(i)
-            else:
-                fresh.append(i)
-        if fresh:
-            stay += fresh
-            tree = None
-    return gone
+    m = len(prints)
+    label = np.arange(m) if label is None else label.copy()
+    links, unsure = [], []
+
+    def meet(own: np.ndarray, radius: int) -> None:
+        values, which = np.unique(prints[own], return_inverse=True)
+        holders, begins = own[np.argsort(which, kind="stable")], np.searchsorted(np.sort(which), np.arange(len(values) + 1))
+        tree, width = BKTree(values), np.diff(begins)
+        for begin in range(0, len(own), block):
+            mine, found = own[begin : begin + block], []
+            for q, node, d in tree.search(prints[mine], radius):
+                n = width[node]
+                other = holders[np.repeat(begins[node] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
+                q, d = np.repeat(mine[q], n), np.repeat(d, n)
+                keep = (other < q) & (label[q] != label[other])
+                if side is not None:
+                    keep &= side[q] != side[other]
+                found.append((q[keep], other[keep], d[keep]))
+            q, j, d = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+            order = np.lexsort((d, q))
+            q, j = q[order], j[order]
+            while len(q):  # one partner of each member in turn, nearest first, until all are connected or compared
+                first = np.zeros(len(q), dtype=bool)
+                first[np.unique(q, return_index=True)[1]] = True
+                for x, y in zip(q[first].tolist(), j[first].tolist(), strict=True):
+                    if label[x] == label[y]:
+                        continue
+                    value, sure = similarity(sketches[x], sketches[y])
+                    if sure or abs(value - alike) > NEAR:
+                        if value >= alike:
+                            links.append((x, y))
+                            label[label == max(label[x], label[y])] = min(label[x], label[y])
+                    else:
+                        unsure.append((x, y))
+                rest = ~first & (label[q] != label[j])
+                q, j = q[rest], j[rest]
+
+    meet(np.arange(m), wide)
+    few = np.flatnonzero(np.fromiter(map(len, sketches), dtype=np.int64, count=m) * alike < FEW)
+    if len(few) > 1 and wide < BITS:
+        meet(few, BITS)
+    return links, [(x, y) for x, y in unsure if label[x] != label[y]]
+
+
+def _similar_pairs(members: DataFrame, alike: float, wide: int) -> DataFrame:
+    """Rows (a, b, sure) from rows (place, id, fp, least, label, side); label and side may be null."""
+    import pyarrow as pa
+
+    def run(batches):
+        for t in grouped(batches):
+            t = t.combine_chunks()
+            place, ids = t.column(0).to_numpy(), t.column(1).to_pylist()
+            fp, least = t.column(2).to_numpy().view(np.uint64), t.column(3)
+            labels, sides = t.column(4).to_pylist(), t.column(5).to_pylist()
+            edges = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1], [True])))
+            out = []
+            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                own = [k for k in range(i, j) if k == i or ids[k] != ids[k - 1]]  # a repeated row is the same text
+                if len(own) < 2:
+                    continue
+                sketches = [np.frombuffer(least[k].as_py(), dtype=np.uint32) for k in own]
+                label = None if labels[i] is None else np.unique(np.array([labels[k] for k in own], dtype=object), return_inverse=True)[1]
+                side = None if sides[i] is None else np.array([sides[k] for k in own])
+                links, unsure = linked(fp[own], sketches, alike, wide, label, side)
+                out += [(ids[own[x]], ids[own[y]], s) for pairs, s in ((links, True), (unsure, False)) for x, y in pairs]
+            a, b, s = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(s, pa.bool_())], ["a", "b", "sure"])
+
+    return members.repartition("place").sortWithinPartitions("place", "id").mapInArrow(run, "a binary, b binary, sure boolean").distinct()
+
+
+def _verified(unsure: DataFrame, texts: DataFrame, words: int, alike: float) -> DataFrame:
+    """The pairs (a, b) whose texts, rows (id, text), are alike by all their shingle hashes."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in (p for b in batches for p in pieces(b, 1, 100)):
+            every = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(every, pa.list_(pa.int64()))], ["id", "every"])
+
+    asked = unsure.select(F.explode(F.array("a", "b")).alias("qid")).distinct()
+    full = kept_table(texts.join(asked, F.col("id") == F.col("qid"), "left_semi").mapInArrow(run, "id binary, every array<long>").dropDuplicates(["id"]), "full")
+    one, two = (full.select(F.col("id").alias(f"i{x}"), F.col("every").alias(f"e{x}")) for x in "ab")
+    met = unsure.join(one, F.col("a") == F.col("ia")).join(two, F.col("b") == F.col("ib"))
+    shared = F.size(F.array_intersect("ea", "eb"))
+    return met.where(shared >= alike * (F.size("ea") + F.size("eb") - shared)).select("a", "b")
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, alike: float = 0.8, wide: int = WIDE, shard: int = 4000) -> DataFrame:
-    """The documents that stay, with all columns: no two are alike, and whatever goes is alike one that came before it.
-
-    Order is by key (null first), then by text hash. Equal word sequences are one text from the
-    start, its first row stays. In each round texts meet in shards of an anchor, in order, and one alike an
-    earlier one of its shard that stays there goes. Shards of more than ``shard`` texts are cut at
-    random, and what is left of them, and of nothing else, meets in another round, cut differently,
-    until no shard is that large or nothing goes; shards that are still larger then are compared
-    piece by piece with each other, so no pair is left out.
+    """The documents that stay, with all columns: the first of each component of texts that are alike.
+
+    Order is by key (null first), then by text hash. Equal word sequences are one text from the start, its
+    first row stays. Components are those of all documents, whatever shards and pieces the texts met in.
     """
     import pyarrow as pa
 
-    spark = docs.sparkSession
-    n = partitions(spark)
+    def digest(t: str) -> bytes:
+        return xxhash.xxh3_128_digest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split()))
 
     def describe(batches):
         for batch in (p for b in batches for p in pieces(b, 2, 1000)):
             digests, prints, anchors, least = [], [], [], []
             for t in batch.column(2).to_pylist():
-                h = shingle_hashes(t, words)
-                digests.append(xxhash.xxh3_128_digest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split())))
+                h = np.unique(shingle_hashes(t, words))
+                digests.append(digest(t))
                 prints.append(fingerprint(h))
-                anchors.append(np.unique(h)[:ANCHORS].view(np.int64))
+                anchors.append(h[:ANCHORS].view(np.int64))
                 least.append(sketch(h).tobytes())
             arrays = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array(anchors, pa.list_(pa.int64())), pa.array(least, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["at", "th", "id", "fp", "anchors", "least"])
 
     source = docs.select(F.col(key).cast("long").alias("at"), F.xxhash64(text_or_empty(text)).alias("th"), text_or_empty(text).alias("text"))
     described = kept_table(source.mapInArrow(describe, "at long, th long, id binary, fp long, anchors array<long>, least binary"), "described")
-    first = described.groupBy(F.col("id").alias("fid")).agg(F.min(F.struct("at", "th")).alias("first")).select("fid", F.col("first.at").alias("fat"), F.col("first.th").alias("fth"))
-    alive = kept_table(first, "alive")
+    first = described.groupBy(F.col("id").alias("fid")).agg(F.min(F.struct("at", "th")).alias("first"))
+    alive = kept_table(first.select("fid", F.col("first.at").alias("fat"), F.col("first.th").alias("fth")), "alive")
     mine = lambda d: (d["id"] == F.col("fid")) & d["at"].eqNullSafe(F.col("fat")) & (d["th"] == F.col("fth"))
 
     narrow = described.select("id", "at", "th", "anchors")
     pairs = narrow.join(alive, mine(narrow), "left_semi").select("id", F.explode("anchors").alias("anchor")).distinct()
-    met, number, blocks = described, 0, False
-    while True:
-        shared = pairs.groupBy(F.col("anchor").alias("a")).agg(F.ceil(F.count("*") / shard).alias("cuts"), F.count("*").alias("n")).where("n > 1").drop("n")
-        placed = kept_table(pairs.join(shared, F.col("anchor") == F.col("a")).select("id", "anchor", "cuts"), "placed")
-        piece = F.pmod(F.xxhash64("id", F.lit(number)), F.col("cuts"))
-        if blocks:
-            placed_in = placed.select("id", "anchor", piece.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("other"))
-            place = F.xxhash64("anchor", F.least("own", "other"), F.greatest("own", "other"))
-        else:
-            placed_in, place = placed, F.xxhash64("anchor", piece)
-        per = placed_in.select(F.col("id").alias("pid"), place.alias("place")).groupBy("pid").agg(F.collect_list("place").alias("places"))
-        if number:
-            met = met.drop("places").join(per, F.col("id") == F.col("pid"))
-        else:  # later rounds read what this one joins: a row for each text that shares an anchor
-            per = per.join(alive, F.col("pid") == F.col("fid"))
-            met = described.join(per, mine(described))
-        met = kept_table(met.select("id", "at", "th", "fp", "least", "places"), "met")
-        members = met.select(F.explode("places").alias("place"), "at", "th", "id", "fp", "least")
-        members = members.repartition(n, "place").sortWithinPartitions("place", F.asc_nulls_first("at"), "th")
-
-        def follow(batches):
-            for t in grouped(batches):
-                place, ids = t.column(0).to_numpy(), t.column(3).to_pylist()
-                fp, least = t.column(4).to_numpy().view(np.uint64), t.column(5)
-                edges = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1], [True])))
-                out = []
-                for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    own = [k for k in range(i, j) if k == i or ids[k] != ids[k - 1]]  # a repeated row is the same text
-                    if len(own) > 1:
-                        sketches = [np.frombuffer(least[k].as_py(), dtype=np.uint32) for k in own]
-                        out += [ids[own[x]] for x in followers(fp[own], sketches, alike, wide)]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["gone"])
-
-        gone = kept_table(members.mapInArrow(follow, "gone binary").distinct(), "gone")
-        some = bool(gone.limit(1).count())
-        if some:
-            alive = kept_table(alive.join(gone, F.col("fid") == F.col("gone"), "left_anti"), "alive")
-        large = placed.where("cuts > 1").select("id", "anchor")
-        if blocks or not large.limit(1).count():
-            break
-        pairs = large.join(gone, F.col("id") == F.col("gone"), "left_anti")
-        number, blocks = number + 1, not some
-
-    stays = alive.select(F.col("fat").alias("_sh_key"), F.col("fth").alias("_sh_text"))
+    shared = pairs.groupBy(F.col("anchor").alias("a")).agg(F.ceil(F.count("*") / shard).alias("cuts"), F.count("*").alias("n")).where("n > 1").drop("n")
+    placed = kept_table(pairs.join(shared, F.col("anchor") == F.col("a")).select("id", "anchor", "cuts", F.pmod(F.xxhash64("id", "anchor"), "cuts").alias("piece")), "placed")
+
+    def met(places: DataFrame) -> DataFrame:
+        """The members of places (pid, p), p being (place, label, side)."""
+        per = places.groupBy("pid").agg(F.collect_list("p").alias("ps")).join(alive, F.col("pid") == F.col("fid"))
+        return described.join(per, mine(described)).select(F.explode("ps").alias("p"), "id", "fp", "least").select("p.place", "id", "fp", "least", "p.label", "p.side")
+
+    none = (F.lit(None).cast("binary").alias("label"), F.lit(None).cast("long").alias("side"))
+    found = kept_table(_similar_pairs(met(placed.select(F.col("id").alias("pid"), F.struct(F.xxhash64("anchor", "piece").alias("place"), *none).alias("p"))), alike, wide), "links")
+    large = placed.where("cuts > 1")
+    if large.limit(1).count():
+        roots = components(found.where("sure").select("a", "b"))
+        parted = large.join(roots, F.col("id") == F.col("node"), "left").select("id", "anchor", "cuts", "piece", F.coalesce("root", "id").alias("label"))
+        mixed = parted.groupBy(F.col("anchor").alias("ma")).agg(F.min("label").alias("one"), F.max("label").alias("two")).where("one <> two").select("ma")
+        parted = parted.join(mixed, F.col("anchor") == F.col("ma")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))).where("other <> piece")
+        place = F.xxhash64("anchor", F.least("piece", "other"), F.greatest("piece", "other"), F.lit(2))
+        more = _similar_pairs(met(parted.select(F.col("id").alias("pid"), F.struct(place.alias("place"), "label", F.col("piece").alias("side")).alias("p"))), alike, wide)
+        found = found.unionByName(kept_table(more, "more"))
+    links, unsure = found.where("sure").select("a", "b"), found.where("not sure").select("a", "b")
+    if unsure.limit(1).count():
+        texts = described.select("id", "at", "th").join(alive, mine(described), "left_semi").withColumnRenamed("at", "dat").withColumnRenamed("th", "dth")
+        asked = unsure.select(F.explode(F.array("a", "b")).alias("qid")).distinct()
+        texts = texts.join(asked, F.col("id") == F.col("qid"), "left_semi")
+        texts = source.join(texts, F.col("at").eqNullSafe(F.col("dat")) & (F.col("th") == F.col("dth"))).select("id", "text")
+        links = links.unionByName(_verified(unsure, texts, words, alike))
+    roots = components(links)
+    members = alive.join(roots, F.col("fid") == F.col("node")).select("fid", "root", F.struct("fat", "fth").alias("place"))
+    least = members.groupBy(F.col("root").alias("r")).agg(F.min("place").alias("least"))
+    gone = members.join(least, F.col("root") == F.col("r")).where("place <> least").select(F.col("fid").alias("gone"))
+
+    stays = alive.join(gone, F.col("fid") == F.col("gone"), "left_anti").select(F.col("fat").alias("_sh_key"), F.col("fth").alias("_sh_text"))
     rows = docs.withColumn("_sh_at", F.col(key).cast("long")).withColumn("_sh_th", F.xxhash64(text_or_empty(text)))
     rows = rows.join(stays, F.col("_sh_at").eqNullSafe(F.col("_sh_key")) & (F.col("_sh_th") == F.col("_sh_text")), "left_semi")
     return rows.dropDuplicates(["_sh_at", "_sh_th"]).drop("_sh_at", "_sh_th")
