@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation, by SQL functions only.
 
 Texts become templates: numbers, units after numbers and names turn into typed placeholders, other
-words into lower case without marks. There are three variants: names are capitalised words within a
+words into lower case without marks. Figures keep their points and commas, number words are numbers, and a unit is a word
+of its own even where it follows its number without a space. There are three variants: names are capitalised words within a
 sentence; or nothing is a name, so that case and what stands before don't matter; or all capitalised
 words are names, those that begin a sentence too. Windows of ``WINDOW`` template words are hashed and the hashes of
 documents are joined with those of benchmark items, so a question is found again when only its numbers,
@@ -32,6 +33,8 @@ WINDOW, ENOUGH, SMALL = 8, 13, 500_000
 
 #: Units that may follow a number.
 UNITS = ("mm", "cm", "m", "km", "in", "ft", "yd", "mi", "mg", "g", "kg", "t", "lb", "oz", "ml", "l", "gal", "s", "sec", "min", "h", "hr", "hour", "hours", "minute", "minutes", "second", "seconds", "day", "days", "week", "weeks", "month", "months", "year", "years", "meter", "meters", "metre", "metres", "mile", "miles", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "degrees")
+#: Words that are numbers.
+NUMBERS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "half", "twice", "dozen")
 #: Control characters that mark names and units while a text is cut; a text's own ones are dropped.
 NAME, FIRST, UNIT = "\\u0003", "\\u0004", "\\u0005"
 #: Which marks are typed as names, by variant of the template; elsewhere a marked word is a plain one.
@@ -41,37 +44,55 @@ VARIANTS = ((NAME,), (), (NAME, FIRST))
 def marked_words(text: str) -> str:
     """SQL for the words of a text in lower case without marks; names and units begin with their control character.
 
-    A name is a capitalised word within a sentence, ``FIRST`` marks any other capitalised word; a unit is one of ``UNITS`` after a number, in any case.
+    A name is a capitalised word within a sentence, ``FIRST`` marks any other capitalised word; a unit is one of ``UNITS``
+    after a number, in any case, and a word of its own even where no space parts them. Points and commas stay within numbers.
     """
     plain = f"replace(replace(replace({text}, '{NAME}', ''), '{FIRST}', ''), '{UNIT}', '')"
     named = f"regexp_replace({plain}, '(?<=[^.!?:\\\\s])(\\\\s+)(?=\\\\p{{Lu}}\\\\p{{Ll}}+(?!\\\\p{{L}}))', '$1{NAME}')"
     first = f"regexp_replace({named}, '(^|\\\\s)([^\\\\p{{L}}\\\\p{{N}}\\\\s{NAME}]*)(?=\\\\p{{Lu}}\\\\p{{Ll}}+(?!\\\\p{{L}}))', '$1$2{FIRST}')"
-    units = f"regexp_replace({first}, '(\\\\p{{N}}\\\\s+)[{NAME}{FIRST}]?((?i:{'|'.join(UNITS)}))(?!\\\\p{{L}})', '$1{UNIT}$2')"
-    bare = f"regexp_replace(lower({units}), '[^\\\\p{{L}}\\\\p{{N}}\\\\s{NAME}{FIRST}{UNIT}]+', '')"
+    units = f"regexp_replace({first}, '(\\\\p{{N}})\\\\s*[{NAME}{FIRST}]?((?i:{'|'.join(UNITS)}))(?!\\\\p{{L}})', '$1 {UNIT}$2')"
+    bare = f"regexp_replace(lower({units}), '[^\\\\p{{L}}\\\\p{{N}}\\\\s.,{NAME}{FIRST}{UNIT}]+|(?<!\\\\p{{N}})[.,]+|[.,]+(?!\\\\p{{N}})', '')"
     return f"filter(split({bare}, '\\\\s+'), x -> ltrim('{NAME}{FIRST}{UNIT}', x) <> '')"
 
 
+def typed_words(words: str) -> str:
+    """SQL for marked words with numbers and units typed; names keep their marks.
+
+    Number words count as numbers, and a unit's word after one as a unit. In a row of ``WINDOW`` and more figures the last
+    ones stay plain, so that tables meet by what they hold.
+    """
+    figure = lambda i: f"left(get({words}, {i}), 1) between '0' and '9'"
+    several = " and ".join(f"coalesce({figure(f'i - {k}')}, false)" for k in range(1, WINDOW))
+    listed = lambda values: ", ".join(f"'{v}'" for v in values)
+    plain = lambda x: f"ltrim('{NAME}{FIRST}', {x})"
+    unit = f"{plain('x')} in ({listed(UNITS)}) and {plain(f'get({words}, i - 1)')} in ({listed(NUMBERS)})"
+    return f"transform({words}, (x, i) -> case when left(x, 1) between '0' and '9' then if({several}, x, '<num>') when left(x, 1) = '{UNIT}' then '<unit>' when {plain('x')} in ({listed(NUMBERS)}) then '<num>' when {unit} then '<unit>' else x end)"
+
+
 def word_of(names: tuple[str, ...]) -> str:
-    """SQL for the template word of a marked word x, where these marks are names."""
+    """SQL for the template word of a typed word x, where these marks are names."""
     typed = "".join(f"when left(x, 1) = '{n}' then '<name>' " for n in names)
-    return f"case when left(x, 1) between '0' and '9' then '<num>' when left(x, 1) = '{UNIT}' then '<unit>' {typed}else ltrim('{NAME}{FIRST}', x) end"
+    return f"case {typed}else ltrim('{NAME}{FIRST}', x) end" if typed else f"ltrim('{NAME}{FIRST}', x)"
 
 
 def templated(df: DataFrame) -> DataFrame:
-    """Rows with a column text, and: raw (words in lower case without marks), words (template words by variant), ths (their hashes)."""
-    df = once(df, _x=marked_words("text"))
-    by_variant = ", ".join(f"transform(_x, x -> {word_of(v)})" for v in VARIANTS)
-    return once(df, raw=f"transform(_x, x -> ltrim('{NAME}{FIRST}{UNIT}', x))", words=f"array({by_variant})").drop("_x")
+    """Rows with a column text, and: raw (words in lower case without marks), words (template words by variant)."""
+    df = once(once(df, _x=marked_words("text")), _t=typed_words("_x"))
+    by_variant = ", ".join(f"transform(_t, x -> {word_of(v)})" for v in VARIANTS)
+    return once(df, raw=f"transform(_x, x -> ltrim('{NAME}{FIRST}{UNIT}', x))", words=f"array({by_variant})").drop("_x", "_t")
 
 
-def windows(size: str) -> str:
-    """SQL for (variant, place, hash) of each window of that many words; one window if the text is as short.
+def windows(size: int) -> str:
+    """SQL for (i, h1, h2, ...) of each window of that many words: its place and its hash by variant; one window if the text is as short."""
+    hashed = lambda v: f"xxhash64({', '.join(f'get(th{v}, i + {k})' for k in range(size))}) as h{v}"
+    each = f"transform(sequence(0, size(th1) - {size}), i -> struct(i + 1 as i, {', '.join(hashed(v) for v in range(1, len(VARIANTS) + 1))}))"
+    none = "struct(0 as i, " + ", ".join(f"0L as h{v}" for v in range(1, len(VARIANTS) + 1)) + ")"
+    return f"if(size(th1) < {size}, filter(array({none}), x -> false), {each})"
 
-    Windows meet those of the same variant.
-    """
-    one = lambda v: f"transform(sequence(1, greatest(size(th1) - {size} + 1, 1)), i -> xxhash64(slice(th{v}, i, {size})))"
-    each = ", ".join(f"transform({one(v)}, (h, i) -> struct({v} as v, i + 1 as i, h as hash))" for v in range(1, len(VARIANTS) + 1))
-    return f"if(size(th1) < {size}, array(), concat({each}))"
+
+def by_variant() -> Column:
+    """The window w as an array of (v, hash)."""
+    return F.array(*[F.struct(F.lit(v).alias("v"), F.col(f"w.h{v}").alias("hash")) for v in range(1, len(VARIANTS) + 1)])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
@@ -83,15 +104,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     ths = [F.expr(f"transform(words[{v - 1}], x -> xxhash64(x))").alias(f"th{v}") for v in range(1, len(VARIANTS) + 1)]
     items = cut(items.select("item", F.xxhash64("text").alias("ith"), "raw", "words", *ths))
     sizes = sorted(r[0] for r in items.select(F.least(F.lit(WINDOW), F.size("th1"))).distinct().collect())  # WINDOW values at most
-    places = items.select("item", "ith", F.explode(F.concat(*[_of_size(n) for n in sizes] or [_of_size(WINDOW)])).alias("w")).select("item", "ith", "w.v", "w.i", "w.hash")
+    places = items.select("item", "ith", F.explode(F.concat(*[_of_size(n) for n in sizes or [WINDOW]])).alias("w"))
+    places = places.select("item", "ith", "w.i", F.explode(by_variant()).alias("x")).select("item", "ith", "x.v", "i", "x.hash")
     places = cut(places.withColumnRenamed("i", "j"))
     small = places.count() <= SMALL
 
     slim = docs.select(F.col(key).cast("long").alias("id"), text_or_empty(text).alias("text")).withColumn("doc", F.xxhash64("text"))
     mine = once(slim.select("id", "doc", "text"), _x=marked_words("text"))
-    mine = once(mine.select("id", "doc", "_x"), **{f"th{v}": f"transform(_x, x -> xxhash64({word_of(names)}))" for v, names in enumerate(VARIANTS, 1)}).drop("_x")
-    mine = mine.select("id", "doc", F.explode(F.concat(*[F.expr(windows(str(n))) for n in sizes] or [F.expr(windows(str(WINDOW)))])).alias("w")).select("id", "doc", "w.v", "w.i", "w.hash")
-    hits = mine.join(F.broadcast(places) if small else places, ["hash", "v"]).select("id", "doc", "item", "ith", "v", "i", (F.col("i") - F.col("j")).alias("shift")).distinct()
+    mine = once(mine.select("id", "doc", "_x"), _t=typed_words("_x"))
+    mine = once(mine.select("id", "doc", "_t"), **{f"th{v}": f"transform(_t, x -> xxhash64({word_of(names)}))" for v, names in enumerate(VARIANTS, 1)}).drop("_t")
+    mine = mine.select("id", "doc", F.explode(F.concat(*[F.expr(windows(n)) for n in sizes or [WINDOW]])).alias("w"))
+    # A window whose variants are one meets the items once; which variants a hit is of, the item's side says.
+    hashes = F.array(*[F.col(f"w.h{v}") for v in range(1, len(VARIANTS) + 1)])
+    mine = mine.select("id", "doc", "w.i", hashes.alias("hs"), F.explode(F.array_distinct(hashes)).alias("hash"))
+    hits = mine.join(F.broadcast(places) if small else places, "hash").where(F.element_at("hs", F.col("v")) == F.col("hash")).select("id", "doc", "item", "ith", "v", "i", (F.col("i") - F.col("j")).alias("shift")).distinct()
     runs = hits.groupBy("id", "doc", "item", "ith", "v", "shift").agg(F.count("*").alias("n"), F.min("i").alias("low"), F.max("i").alias("high"))
     runs = runs.join(items.select("item", "ith", F.size("th1").alias("length")), _same("item", "ith", runs, items), "inner").select(runs["*"], "length")
     covered = F.least(F.col("n") + WINDOW - 1, F.col("high") - F.col("low") + F.least(F.lit(WINDOW), F.col("length")), F.col("length"))
@@ -128,7 +154,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 def _of_size(n: int) -> Column:
     """The windows of items whose windows have n words."""
     own = f"size(th1) = {n}" if n < WINDOW else f"size(th1) >= {n}"
-    return F.expr(f"if({own}, {windows(str(n))}, array())")
+    return F.expr(f"if({own}, {windows(n)}, filter({windows(n)}, x -> false))")
 
 
 def _same(a: str, b: str, x: DataFrame, y: DataFrame) -> Column:
