@@ -13,6 +13,7 @@ import xxhash
 from tidelog.llm import chat, decontaminate, linededup, quality, simhash, warc
 from tidelog.llm.queries import QUERIES
 from tests.llm.conftest import DATA, ODD
+from tests.llm.line_rule import deduped
 
 
 def words(t):
@@ -73,8 +74,18 @@ def test_bk_tree():
         assert got == {(i, j) for i in range(50) for j in range(len(values)) if int(values[i] ^ values[j]).bit_count() <= radius}
 
 
+def kept_by_force(texts):
+    """The first of each component of texts of similarity 0.8 or more."""
+    ids = sorted(texts)
+    sets, of = [set(shingled(texts[k], 5)) for k in ids], simhash.Union(len(ids))
+    for i, j in itertools.combinations(range(len(ids)), 2):
+        if not sets[i] and not sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0:
+            of.join(i, j)
+    return {k for i, k in enumerate(ids) if of.find(i) == i}
+
+
 @pytest.mark.parametrize("shard", [4000, 3])
-def test_near_dedup(spark, texts, odd, shard):
+def test_near_dedup(spark, odd, shard):
     rnd, rows = random.Random(1), []
     for k in range(12):
         base = [rnd.choice("lorem ipsum dolor sit amet consectetur elit sed do".split()) + str(rnd.randrange(50)) for _ in range(150)]
@@ -84,39 +95,53 @@ def test_near_dedup(spark, texts, odd, shard):
                 copy[i] = "changed"
             rows.append((len(rows), " ".join(copy), "s"))
     df = spark.createDataFrame(rows, "doc_id long, text string, id string")
-    sets = {k: set(shingled(t, 5)) for k, t, _ in rows}
-    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
     kept = {r["doc_id"] for r in simhash.near_dedup(df, shard=shard).collect()}
-    assert not any(alike(a, b) for a, b in itertools.combinations(sorted(kept), 2))
-    assert all(any(alike(a, b) for b in range(a)) for a in sets if a not in kept)
+    assert kept == kept_by_force({k: t for k, t, _ in rows}) and len(kept) == 12
     left = simhash.near_dedup(odd, shard=shard)
-    assert left.columns == odd.columns and left.count() == 5 and simhash.near_dedup(odd.limit(0)).count() == 0
-
-
-def line_brute(texts):
-    s64 = lambda x: x - (1 << 64) if x >> 63 else x
-    where, lines = defaultdict(list), {}
-    for k in sorted(texts):
-        units = re.split(r"(?<=[.!?]) |\n", texts[k])
-        lines[k] = [a + b for a, b in zip(units, re.findall(r"(?<=[.!?]) |\n", texts[k]) + [""], strict=True)]
-        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in units]
-        r = [s64((a << 32 & 2**64 - 1) ^ b) for a, b in zip([0] + h[:-1], h, strict=True)]
-        chunks = set()
-        for sign in (1, -1):
-            starts = [0] + [i for i in range(1, len(h) - 1) if sign * r[i] < sign * r[i - 1] and sign * r[i] < sign * r[i + 1]]
-            chunks |= {(a, b) for a, b in zip(starts, starts[1:] + [len(h)], strict=True) if b - a > 1}
-        for a, b in chunks:
-            if len(body := "\n".join(units[a:b])) >= linededup.LEAST:
-                where[body].append((k, a, b))
-    gone = defaultdict(set)
-    for places in where.values():
-        for k, a, b in sorted(places)[1:]:
-            gone[k] |= set(range(a, b))
-    return {k: "".join(x for i, x in enumerate(v) if i not in gone[k]) for k, v in lines.items()}
+    assert left.columns == odd.columns and simhash.near_dedup(odd.limit(0)).count() == 0
+    assert sorted((str(r["doc_id"]), (r["text"] or "")[:12]) for r in left.collect()) == [("2", "a b c"), ("2", "other text"), ("4", ODD[-1][1][:12]), ("None", ""), ("None", "x")]
+
+
+def test_near_dedup_by_force(spark, docs, texts):
+    assert {r["doc_id"] for r in simhash.near_dedup(docs).collect()} == kept_by_force(texts)
+
+
+@pytest.mark.parametrize("shard", [3, 10, 4000])
+def test_near_dedup_of_a_drifting_chain(spark, shard):
+    words = [f"w{i}" for i in range(200)]
+    chain = {k: " ".join(words[k : k + 120]) for k in range(60)} | {60: "quite another text of its own"}
+    df = spark.createDataFrame(list(chain.items()), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.near_dedup(df, shard=shard).collect()} == {0, 60} == kept_by_force(chain)
+
+
+def test_near_dedup_of_long_texts_is_exact(spark):
+    """Pairs of 1,500 words on either side of the threshold, where sketches can't tell."""
+    rnd, made = random.Random(6), {}
+    for p in range(12):
+        base = [f"{rnd.getrandbits(40):x}" for _ in range(1500)]
+        cut = round(1500 / 9 + (-1) ** p * rnd.choice([2, 5, 9]))
+        made[2 * p], made[2 * p + 1] = " ".join(base), " ".join(base[:-cut] + [f"{rnd.getrandbits(40):x}" for _ in range(cut)])
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    want = kept_by_force(made)
+    assert len(want) == 18 and {r["doc_id"] for r in simhash.near_dedup(df).collect()} == want
+
+
+def test_near_copies_are_caught(spark):
+    """Copies with a few words changed, of texts of 8 to 900 words."""
+    rnd, made = random.Random(7), {}
+    for _ in range(150):
+        base = [f"{rnd.choice('abcdefgh')}{rnd.randrange(400)}" for _ in range(rnd.choice([8, 12, 20, 60, 200, 900]))]
+        edits = len(base) // 60
+        copy = [x if i not in set(rnd.sample(range(len(base)), edits)) else "edited" for i, x in enumerate(base)] + ["more"] * (len(base) < 60)
+        made[len(made)], made[len(made) + 1] = " ".join(base), " ".join(copy)
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    want = kept_by_force(made)
+    got = {r["doc_id"] for r in simhash.near_dedup(df).collect()}
+    assert len(want) < 200 and got == want
 
 
 def test_line_dedup(spark, docs, texts, odd):
-    want = line_brute(texts)
+    want = deduped(texts)
     assert {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()} == want and want != texts
     out = linededup.dedup_lines(odd)
     assert out.columns == odd.columns and out.count() == len(ODD) and out.where("text is null").count() == 2
@@ -129,7 +154,7 @@ def test_line_dedup_finds_planted_passages(spark):
     passage = "\n".join(sentence() for _ in range(16))
     made = {k: "\n".join([sentence() for _ in range(rnd.randrange(3, 9))] + ([passage] if k % 2 else []) + [sentence() for _ in range(rnd.randrange(3, 9))]) for k in range(20)}
     out = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame(list(made.items()), "doc_id long, text string")).collect()}
-    assert out == line_brute(made)
+    assert out == deduped(made)
     assert all(out[k] == made[k] for k in made if not k % 2 or k == 1)
     assert all(len(out[k]) < len(made[k]) - len(passage) * 0.5 for k in made if k % 2 and k > 1)
 
@@ -281,8 +306,35 @@ def test_pipeline_equals_its_stages(spark, texts):
         docs = spark.createDataFrame(rows, docs.schema)
         assert docs.columns == names and {r["doc_id"] for r in rows} <= set(before)
         if stage is corpus_pipeline.line_dedup:
-            assert {r["doc_id"]: r["text"] for r in rows} == line_brute(before)
+            assert {r["doc_id"]: r["text"] for r in rows} == deduped(before)
     left = {r["doc_id"]: r["text"] for r in rows}
     codec = Codec(read_vocabulary(corpus_pipeline.VOCABULARY))
     want = {k: len(x) // 4 for k, x in zip(left, codec.encode_batch(list(left.values())), strict=True)}
     assert {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.run(spark, DATA).collect()} == want
+
+
+def test_quality_by_tasks_equals_the_driver(spark):
+    """The gradient summed over a table gives the model that the driver fits, from all passages of long texts too."""
+    rnd = random.Random(2)
+    rows = [(k, " ".join(rnd.choice(["good", "fine", "text"] if k % 2 else ["$$", "%%", "buy!"]) + str(rnd.randrange(99)) for _ in range(rnd.choice([5, 70, 30_000 if k < 4 else 300])))) for k in range(60)]
+    docs = spark.createDataFrame(rows + [(100, "x" * 300_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows] + [(100, 0)], "doc_id long, quality int")
+    one, two = (quality.train(docs, labels, held=held, steps=6) for held in (1 << 30, 0))
+    assert all(np.allclose(one[k], two[k], atol=1e-6) for k in one)
+    assert len(quality.passages("x" * 300_000)) == -(-300_000 // quality.LONGEST) and max(map(len, quality.passages(rows[2][1]))) <= quality.LONGEST
+
+
+def test_quality_scores_by_force(spark, docs, texts):
+    """Each score against a loop over passages with the model's formulas written out."""
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    m = quality.train(docs, labels, steps=20)
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, m).collect()}
+    for k in sorted(texts)[:40]:
+        hidden, weights = [], []
+        for p in quality.passages(texts[k] or ""):
+            h = np.tanh(((quality.features([p])[0] - m["mean"]) * m["scale"]) @ m["W"] + m["b"])
+            hidden.append(h)
+            weights.append(float((np.tanh(h @ m["V"]) / (1 + np.exp(-(h @ m["U"])))) @ m["w"]))
+        a = np.exp(np.array(weights) - max(weights))
+        z = float((a / a.sum()) @ np.array(hidden) @ m["c"] + m["d"][0])
+        assert abs(got[k] - 1 / (1 + np.exp(-z))) < 1e-4

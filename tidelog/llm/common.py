@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidelog.plans.paths import shared_path, shared_root
 
 
-__all__ = ["cut", "drop_tables", "kept_table", "once", "partitions", "pieces", "recording", "shared_path", "shared_root", "table", "text_or_empty"]
+__all__ = ["cut", "drop_table", "drop_tables", "kept_table", "once", "partitions", "pieces", "recording", "shared_path", "shared_root", "table", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,13 @@ def drop_tables(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
+def drop_table(table: DataFrame) -> None:
+    """Deletes a kept table that nothing reads any more."""
+    files = table.inputFiles()
+    if files:
+        drop_tables(table.sparkSession, [files[0].rsplit("/", 1)[0]])
+
+
 def kept_table(df: DataFrame, name: str) -> DataFrame:
     """The rows, written to and read from a Parquet table in the shared folder."""
     path = shared_path(df.sparkSession, name)

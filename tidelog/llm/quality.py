@@ -1,15 +1,17 @@
 """A quality classifier by attention-based multiple-instance learning.
 
-A document is a bag of passages of ``PASSAGE`` words; every passage of the whole text is encoded.
+A document is a bag of passages of ``PASSAGE`` words, or of ``LONGEST`` bytes where words are longer; every passage
+of the whole text is encoded.
 Labels are known for documents only, so gated attention learns which passages a label speaks of:
 each hidden passage h gets the weight softmax(w . (tanh(V h) * sigmoid(U h))) among its document's
 passages, and the document's score is the logistic of the weighted mean passage.
 
 A passage's features are byte classes, hashed byte pairs, word lengths and repetition, so scoring is
-a map over rows without a shuffle; each task holds one slice of a batch. The model is fitted on the
-driver from at most ``SAMPLE`` labelled documents, chosen by a hash of their key, of which at most
-``BAG`` evenly spread passages count; both bounds hold for fitting only, and the features that reach the
-driver are bounded by their product.
+a map over rows without a shuffle; each task holds one slice of a batch. The model is fitted from at
+most ``SAMPLE`` labelled documents, chosen by a hash of their key, and all passages of these. Their
+features are a table in the shared folder. If they come to ``HELD`` bytes at most, which is counted first, the
+driver holds them and sums gradients block by block; if to more, each step's gradient is summed by tasks over the table, and
+only the sums come to the driver.
 
 Labels, language, source and key are never inputs of a score.
 
@@ -25,12 +27,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import pieces, text_or_empty
+from tidelog.llm.common import drop_table, kept_table, partitions, pieces, text_or_empty
 
-PASSAGE, SAMPLE, BAG = 64, 3000, 128
+PASSAGE, LONGEST, SAMPLE, HELD = 64, 2048, 3000, 64 << 20
 PAIRS, HIDDEN, GATE = 96, 24, 12
 FEATURES = 48 + PAIRS
 THRESHOLD = 0.3
+LEARNT = ("W", "b", "V", "U", "w", "c", "d")
 
 
 def _classes() -> np.ndarray:
@@ -72,6 +75,8 @@ def passages(text: str, words: int = PASSAGE) -> list[bytes]:
             n += len(w)
     if held and any(held):
         out.append(b"\n".join(held))
+    if any(len(p) > LONGEST for p in out):
+        out = [p[i : i + LONGEST] for p in out for i in range(0, max(1, len(p)), LONGEST)]
     return out or [b""]
 
 
@@ -147,22 +152,50 @@ def gradient(m: dict, f: dict, bags: np.ndarray, y: np.ndarray) -> dict[str, np.
     return {"c": f["doc"].T @ up, "d": np.array([up.sum()]), "w": (f["t"] * f["g"]).T @ de, "V": f["h"].T @ dt, "U": f["h"].T @ dg, "W": f["z"].T @ dh, "b": dh.sum(axis=0)}
 
 
-def fit(x: np.ndarray, bags: np.ndarray, y: np.ndarray, steps: int = 150, rate: float = 0.02, decay: float = 1e-3) -> dict[str, np.ndarray]:
-    """Adam over the whole sample, from a fixed start."""
+def blocks(bags: np.ndarray, size: int = 1 << 14):
+    """(first bag, end, first passage, end) of runs of bags of about so many passages; a larger bag is a run of its own."""
+    upto, a = np.concatenate(([0], np.cumsum(bags))), 0
+    while a < len(bags):
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] + size, side="right")) - 1)
+        yield a, b, upto[a], upto[b]
+        a = b
+
+
+def summed(m: dict, x: np.ndarray, bags: np.ndarray, y: np.ndarray, total: int) -> dict[str, np.ndarray]:
+    """The bags' part of the gradient of a mean over ``total`` bags."""
+    out = {k: np.zeros_like(m[k]) for k in LEARNT}
+    for a, b, i, j in blocks(bags):
+        g = gradient(m, forward(m, x[i:j].astype(np.float64), bags[a:b]), bags[a:b], y[a:b])
+        for k in LEARNT:
+            out[k] += g[k] * ((b - a) / total)
+    return out
+
+
+def moments(x: np.ndarray, bags: np.ndarray) -> np.ndarray:
+    """Rows: number, sums and sums of squares of the features."""
+    out = np.zeros((3, FEATURES))
+    for _, _, i, j in blocks(bags):
+        z = x[i:j].astype(np.float64)
+        out += np.stack([np.full(FEATURES, len(z)), z.sum(axis=0), (z**2).sum(axis=0)])
+    return out
+
+
+def fit(measured: np.ndarray, slope, steps: int = 150, rate: float = 0.02, decay: float = 1e-3) -> dict[str, np.ndarray]:
+    """Adam from a fixed start, given the features' moments and the gradient of the whole sample as a function of the model."""
     m = start()
-    if not len(y):
+    n, one, two = measured
+    if not n.any():
         return m
-    x = x.astype(np.float64)
-    m["mean"], m["scale"] = x.mean(axis=0), 1 / (x.std(axis=0) + 0.02)
-    learnt = ("W", "b", "V", "U", "w", "c", "d")
-    one, two = ({k: np.zeros_like(m[k]) for k in learnt} for _ in range(2))
+    m["mean"] = one / n
+    m["scale"] = 1 / (np.sqrt(np.maximum(two / n - m["mean"] ** 2, 0)) + 0.02)
+    first, second = ({k: np.zeros_like(m[k]) for k in LEARNT} for _ in range(2))
     for i in range(1, steps + 1):
-        g = gradient(m, forward(m, x, bags), bags, y)
-        for k in learnt:
+        g = slope(m)
+        for k in LEARNT:
             step = g[k] + (decay * m[k] if m[k].ndim == 2 or k == "c" else 0)
-            one[k] = 0.9 * one[k] + 0.1 * step
-            two[k] = 0.99 * two[k] + 0.01 * step**2
-            m[k] = m[k] - rate * (one[k] / (1 - 0.9**i)) / (np.sqrt(two[k] / (1 - 0.99**i)) + 1e-8)
+            first[k] = 0.9 * first[k] + 0.1 * step
+            second[k] = 0.99 * second[k] + 0.01 * step**2
+            m[k] = m[k] - rate * (first[k] / (1 - 0.9**i)) / (np.sqrt(second[k] / (1 - 0.99**i)) + 1e-8)
     return m
 
 
@@ -171,30 +204,59 @@ def held_out(key: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, bag: int = BAG) -> dict[str, np.ndarray]:
-    """A model from at most ``sample`` labelled documents outside the held-out fold."""
+def _unpacked(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, bags, labels) of rows (y, x)."""
+    x = [np.frombuffer(r, dtype=np.float16).reshape(-1, FEATURES) for _, r in rows]
+    return np.concatenate([np.zeros((0, FEATURES), np.float16), *x]), np.array([len(a) for a in x], dtype=np.int64), np.array([float(y) for y, _ in rows])
+
+
+def _over(table: DataFrame, f) -> list[bytes]:
+    """What a function of (features, bags, labels) returns, as bytes, for each batch of the table."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in (p for b in batches for p in pieces(b, 1, 1000, 16 << 20)):
+            yield pa.RecordBatch.from_arrays([pa.array([f(*_unpacked(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))))], pa.binary())], ["out"])
+
+    return [bytes(r["out"]) for r in table.select("y", "x").mapInArrow(run, "out binary").collect()]
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, held: int = HELD, steps: int = 150) -> dict[str, np.ndarray]:
+    """A model from all passages of at most ``sample`` labelled documents outside the held-out fold."""
     import pyarrow as pa
 
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("k")).agg(F.min(label).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("k"), "k").limit(sample)
     rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("text")).join(F.broadcast(chosen), "k")  # at most `sample` rows
+    rows = rows.groupBy("k", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))  # of rows of one key one
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, 2):
-                x, bags = encode(part.column(2).to_pylist())
-                out, at = [], 0
-                for n in bags.tolist():
-                    pick = at + (np.unique(np.linspace(0, n - 1, bag).astype(int)) if n > bag else np.arange(n))
-                    out.append(x[pick].astype(np.float16).tobytes())
-                    at += n
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary())], ["k", "y", "x"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    got = rows.select("k", "y", "text").mapInArrow(run, f"k {kind}, y int, x binary").orderBy(F.xxhash64("k"), "k", "x").limit(sample).collect()
-    bags = np.array([len(r["x"]) // (2 * FEATURES) for r in got], dtype=np.int64)
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), dtype=np.float16).reshape(-1, FEATURES).astype(np.float64)
-    return fit(x, bags, np.array([float(r["y"]) for r in got]))
+            for part in pieces(batch, 1):
+                x, bags = encode(part.column(1).to_pylist())
+                ends = np.cumsum(bags)
+                out = [x[e - n : e].astype(np.float16).tobytes() for n, e in zip(bags.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], ["y", "x"])
+
+    dealt = rows.select("y", "text").repartition(partitions(docs.sparkSession))
+    table = kept_table(dealt.mapInArrow(run, "y int, x binary"), "bags")
+    n, size = table.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("x").cast("long")), F.lit(0))).head()
+    if size <= held:
+        x, bags, y = _unpacked(sorted((r["y"], bytes(r["x"])) for r in table.collect()))
+        model = fit(moments(x, bags), lambda m: summed(m, x, bags, y, n), steps)
+    else:
+        sums = [np.frombuffer(b).reshape(3, FEATURES) for b in _over(table, lambda x, bags, y: moments(x, bags).tobytes())]
+
+        def slope(m: dict) -> dict:
+            parts = _over(table, lambda x, bags, y: b"".join(np.ascontiguousarray(g).tobytes() for g in summed(m, x, bags, y, n).values()))
+            flat, out, at = np.sum([np.frombuffer(p) for p in parts], axis=0), {}, 0
+            for k in LEARNT:
+                out[k], at = flat[at : at + m[k].size].reshape(m[k].shape), at + m[k].size
+            return out
+
+        model = fit(np.sum(sums, axis=0), slope, steps)
+    drop_table(table)
+    return model
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
