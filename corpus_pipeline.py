@@ -10,6 +10,8 @@ result has been written by then; a result that isn't written can't be read after
 
 from __future__ import annotations
 
+import threading
+from collections import defaultdict
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +25,12 @@ from tidelog.llm.queries import VOCABULARY
 from tidelog.llm.simhash import near_dedup
 
 
-_INNER: list[str] = []
+#: Inner tables of the last stage, by thread and tables' folder, so that pipelines that run at once don't meet.
+_INNER: dict[tuple[int, str], list[str]] = defaultdict(list)
+
+
+def inner(sf_dir: str) -> list[str]:
+    return _INNER[threading.get_ident(), sf_dir]
 
 
 def stage(f):
@@ -31,8 +38,8 @@ def stage(f):
 
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_tables(spark, _INNER)
-        with recording(_INNER):
+        drop_tables(spark, inner(sf_dir))
+        with recording(inner(sf_dir)):
             return f(spark, docs, sf_dir)
 
     return run_stage
@@ -83,5 +90,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = spark.read.parquet(path)
         drop_tables(spark, before)
         before = [path]
-    drop_tables(spark, _INNER)
+    drop_tables(spark, inner(sf_dir))
     return docs

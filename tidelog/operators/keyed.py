@@ -2,8 +2,9 @@
 
 Latest values are a partial aggregate by key (max_by over the logical order), so a hot key is a row a task
 before the shuffle. A fold of associative operations starts from each key's last put and adds what
-came later: two aggregates and a join whose hot keys the adaptive planner may split. Only folds that
-are neither associative nor commutative bring a key's suffix together.
+came later. That join deals a key's operations over ``SALTS`` tasks, and what leaves it is aggregated in each
+before the last shuffle, so a key with a third of the log is no task's load. Only folds that are neither associative nor
+commutative bring a key's suffix together.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from tidelog.plans.envelope import OP, PUT, TOMBSTONE, logical
 from tidelog.plans.errors import MissingTarget, UsageError
 
 
+SALTS = 16
+
+
 def _no_null_keys(log: DataFrame, keys: list[str]) -> DataFrame:
     null = F.lit(False)
     for k in keys:
@@ -77,7 +81,9 @@ def _live_operations(log: DataFrame, keys: list[str], orphans: str) -> tuple[Dat
     if orphans == "raise":
         check_orphans(log, keys)
     base = last.select(*keys, F.col("kind").alias("_k"), logical().alias("_at"))
-    ops = log.where(F.col("kind") == OP).join(base, keys).where((F.col("_k") == PUT) & (logical() > F.col("_at"))).drop("_k", "_at")
+    base = base.where(F.col("_k") == PUT).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    ops = log.where(F.col("kind") == OP).withColumn("_salt", F.pmod(F.xxhash64("sequence", "record_ord"), F.lit(SALTS).cast("long")))
+    ops = ops.join(base, [*keys, "_salt"]).where(logical() > F.col("_at")).drop("_k", "_at", "_salt")
     return last, ops
 
 

@@ -51,26 +51,32 @@ def estimate(*logs: DataFrame, keys: list[str] = ("key",)) -> DataFrame:
     return log.agg(F.count("*").alias("records"), F.count_if(bears).alias("key_bearing"), F.count_if(F.col("kind") == PUT).alias("keys_at_most"), F.sum("stored_len").alias("bytes"), F.max("stored_len").alias("largest"))
 
 
-def replace_at(log: DataFrame, block_id: int, position: int, key_column: str = "key", **new) -> DataFrame:
-    """The log with the record at a position of a block replaced. It keeps its sequence, so a later put still wins."""
+def replace_at(log: DataFrame, block_id: int, position: int, key_column: str = "key", validate: Column | None = None, **new) -> DataFrame:
+    """The log with the record at a position of a block replaced. It keeps its sequence, so a later put still wins.
+
+    A new record for which ``validate`` doesn't hold fails the query.
+    """
     if key_column in new:
         raise UsageError("a replacement keeps its key", key=new[key_column])
     placed = with_ordinal(log, ["block_id"], "record_ord", "_at")
     hit = (F.col("block_id") == block_id) & (F.col("_at") == position)
     for name, value in new.items():
         placed = placed.withColumn(name, F.when(hit, F.lit(value)).otherwise(F.col(name)))
+    if validate is not None:
+        bad = F.raise_error(F.lit(f"[{UsageError.__name__}] the replacement is refused"))
+        placed = placed.where(F.when(~hit | F.coalesce(validate, F.lit(False)), F.lit(True)).otherwise(bad.cast("boolean")))
     return placed.drop("_at")
 
 
 def replace_fixed(log: DataFrame, place: int, next_sequence: int, **new) -> DataFrame:
     """The log with a fixed-size record replaced in place; it takes a fresh sequence but keeps its place. A payload of another size fails the query."""
     hit = F.col("record_ord") == place
-    if "payload" in new:
-        other = F.raise_error(F.lit(f"[{UsageError.__name__}] a fixed record keeps its size"))
-        kept = F.when(~hit | (F.octet_length("payload") == F.octet_length(F.lit(new["payload"]))), F.col("payload")).otherwise(other.cast(log.schema["payload"].dataType))
-        log = log.withColumn("payload", kept)
     for name, value in {**new, "sequence": next_sequence}.items():
-        log = log.withColumn(name, F.when(hit, F.lit(value)).otherwise(F.col(name)))
+        now = F.lit(value)
+        if name == "payload":
+            other = F.raise_error(F.lit(f"[{UsageError.__name__}] a fixed record keeps its size"))
+            now = F.when(F.octet_length("payload") == F.octet_length(now), now).otherwise(other.cast("binary"))
+        log = log.withColumn(name, F.when(hit, now).otherwise(F.col(name)))
     return log
 
 

@@ -3,7 +3,8 @@
 A window over (group, order) would put all records of a group, perhaps a third of the log, in one
 task. So the order is cut into stretches: each is worked on by itself, one row of it is carried over to
 the later ones by a window over stretches only, and both are joined. Stretches are ranges of the order
-value, so they need no sort of the whole.
+value, so they need no sort of the whole; their width follows how densely rows lie between the least and the
+greatest value (one aggregate), so orders with gaps, such as times, have stretches of as many rows on average.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ STRETCH = 100_000
 
 
 def _stretched(df: DataFrame, order: str, stretch: int) -> DataFrame:
-    return df.withColumn("_s", F.floor(F.col(order) / stretch))
+    low, high, n = df.agg(F.min(order).cast("double"), F.max(order).cast("double"), F.count(order)).head()
+    width = max(float(stretch), (high - low + 1) * stretch / n) if n else float(stretch)
+    return df.withColumn("_s", F.floor(F.col(order) / width))
 
 
 def _carried(sums: DataFrame, by: list[str], value: Column, name: str) -> DataFrame:

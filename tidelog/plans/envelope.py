@@ -31,8 +31,13 @@ def enveloped(df: DataFrame) -> DataFrame:
     return df
 
 
-def event_log(events: DataFrame) -> DataFrame:
-    """Events as a log: signup and purchase put a value for the user, view and click add to it, error removes it."""
+def event_log(events: DataFrame, blocks: tuple[int, ...] | None = None) -> DataFrame:
+    """Events as a log: signup and purchase put a value for the user, view and click add to it, error removes it.
+
+    Where only some blocks are wanted, their event types are a filter that reaches the scan.
+    """
+    if blocks is not None:
+        events = events.where(F.col("event_type").isin([t for t, b in EVENT_BLOCKS.items() if b in blocks]))
     kind = F.when(F.col("event_type").isin("signup", "purchase"), PUT).when(F.col("event_type").isin("view", "click"), OP).otherwise(TOMBSTONE)
     block = F.element_at(F.create_map(*[F.lit(x) for kv in EVENT_BLOCKS.items() for x in kv]), F.col("event_type")).cast("long")
     log = events.select(

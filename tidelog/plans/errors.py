@@ -58,6 +58,10 @@ class Locked(LogError):
     domain, hint = "concurrency", "wait for the writer, or clear the lock if it is gone"
 
 
+class PartialWrite(LogError):
+    domain, hint = "io", "batches before the failed one are staged; go on after them"
+
+
 class OutOfDomain(LogError):
     domain, hint = "caller", "use a key of the declared domain"
 

@@ -128,6 +128,8 @@ class Format:
                 raise SpecError(f"unknown {name}", value=value, legal=legal)
         if not self.magic:
             raise SpecError("a format needs a magic")
+        if bad := {k: v for k, v in self.header_slots.items() if v not in ("none", "rolling", "sealed")}:
+            raise SpecError("unknown integrity of a header slot", slots=bad)
         seen: set[tuple[int, int]] = set()
         for b in self.blocks:
             if (b.id, b.version) in seen:

@@ -47,8 +47,8 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def log_of(spark: SparkSession, sf_dir: str, sharded: bool = False) -> DataFrame:
-    log = event_log(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("generation", F.floor(F.col("record_ord") / 1000))
+def log_of(spark: SparkSession, sf_dir: str, sharded: bool = False, blocks: tuple[int, ...] | None = None) -> DataFrame:
+    log = event_log(spark.read.parquet(f"{sf_dir}/events.parquet"), blocks).withColumn("generation", F.floor(F.col("record_ord") / 1000))
     return log if sharded else log.withColumn("shard_ord", F.lit(0))
 
 
@@ -70,7 +70,7 @@ def cells_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("block_scan", f"WITH {LOG} SELECT record_ord, key, value FROM log WHERE block_id = 20")
 def _(spark, sf_dir):
-    return scan.blocks(log_of(spark, sf_dir), 20, 1).select("record_ord", "key", "value")
+    return scan.blocks(log_of(spark, sf_dir, blocks=(20,)), 20, 1).select("record_ord", "key", "value")
 
 
 @query("event_scan", f"WITH {LOG} SELECT record_ord, block_id, kind, key, stored_len FROM log")
@@ -80,7 +80,7 @@ def _(spark, sf_dir):
 
 @query("block_get_at", f"WITH {LOG} SELECT record_ord, key, value, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY record_ord) - 1 AS ordinal FROM log WHERE block_id = 20) WHERE ordinal = 42")
 def _(spark, sf_dir):
-    return scan.get_at(log_of(spark, sf_dir), 20, 42).select("record_ord", "key", "value", "ordinal")
+    return scan.get_at(log_of(spark, sf_dir, blocks=(20,)), 20, 42).select("record_ord", "key", "value", "ordinal")
 
 
 @query("block_ordinals", f"WITH {LOG} SELECT record_ord, CAST(block_id AS BIGINT) AS block_id, row_number() OVER (PARTITION BY block_id ORDER BY record_ord) - 1 AS ordinal FROM log")

@@ -17,10 +17,12 @@ import uuid
 import zlib
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, InputPartition, WriterCommitMessage
+from pyspark.sql import DataFrame
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, InputPartition, WriterCommitMessage
 
 from tidelog.plans.errors import CorruptData
 from tidelog.plans.paths import write_new
+from tidelog.plans.spec import Format
 
 MAGIC = b"TIDELOG1"
 HEAD = "<IHBxIQII"
@@ -185,8 +187,28 @@ class LogWriter(DataSourceArrowWriter):
                 store.delete_file(f"{root}/{m.file}")
 
 
+class LogStream(DataSourceStreamReader):
+    """Follows a log: offsets are generations, so each manifest is read once."""
+
+    def __init__(self, options: dict):
+        self.files = LogReader(options)
+
+    def initialOffset(self):
+        return {"generation": int(self.files.upto if self.files.upto is not None else -1)}
+
+    def latestOffset(self):
+        found = manifests(self.files.path)
+        return {"generation": found[-1]["generation"] if found else -1}
+
+    def partitions(self, start, end):
+        return [FilePart(f, m["generation"]) for m in manifests(self.files.path) if start["generation"] < m["generation"] <= end["generation"] for f in m["files"]]
+
+    def read(self, partition):
+        return self.files.read(partition)
+
+
 class LogSource(DataSource):
-    """``spark.read.format("tidelog").load(path)``; register it first."""
+    """``spark.read.format("tidelog").load(path)`` or ``spark.readStream``; register it first. A stream's option generation is where it begins, after it."""
 
     @classmethod
     def name(cls):
@@ -198,10 +220,72 @@ class LogSource(DataSource):
     def reader(self, schema):
         return LogReader(self.options)
 
+    def streamReader(self, schema):
+        return LogStream(self.options)
+
     def writer(self, schema, overwrite):
         return LogWriter(self.options, overwrite)
 
 
+def diagnose(spark, path: str, form: Format | None = None) -> DataFrame:
+    """Rows (file, severity, code, message, records), one for each published file and finding; tasks read the files."""
+    names = [(f,) for m in manifests(path) for f in m["files"]]
+    versions = {(b.id, b.version) for b in form.blocks} if form else None
+
+    def run(batches):
+        import pyarrow as pa
+
+        reader, out = LogReader({"path": path}), []
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                n, strange = 0, set()
+                try:
+                    for row in reader.records(name):
+                        n += 1
+                        if versions is not None and (row[0], row[1]) not in versions:
+                            strange.add((row[0], row[1]))
+                    out.append((name, "info", "whole", "", n))
+                except (CorruptData, OSError) as e:
+                    out.append((name, "error", "torn" if "torn" in str(e) else "damaged" if isinstance(e, CorruptData) else "missing", str(e), n))
+                out += [(name, "warning", "undeclared", f"block {b} version {v}", n) for b, v in sorted(strange)]
+        kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["file", "severity", "code", "message", "records"])
+
+    files = spark.createDataFrame(names or [("",)], "file string").where("file <> ''").repartition(max(1, min(len(names), 200)))
+    return files.mapInArrow(run, "file string, severity string, code string, message string, records long")
+
+
+def sidecars(spark, path: str, suffix: str = ".idx") -> DataFrame:
+    """Rows (file, sidecar, present, size, fingerprint): each published file and the one beside it that bears its name and a suffix."""
+    store, root = _open(path)
+    from pyarrow import fs
+
+    names = [(f, f + suffix) for m in manifests(path) for f in m["files"]]
+    there = {f.base_name for f in store.get_file_info(fs.FileSelector(root)) if f.base_name.endswith(suffix)}
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        mine, base = _open(path)
+        for batch in batches:
+            sizes, prints = [], []
+            for name, present in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                h, n = hashlib.sha256(), 0
+                if present:
+                    with mine.open_input_stream(f"{base}/{name}") as f:
+                        while block := f.read(1 << 20):
+                            h.update(block)
+                            n += len(block)
+                sizes.append(n if present else None)
+                prints.append(h.hexdigest() if present else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array(prints, pa.string())], ["file", "sidecar", "present", "size", "fingerprint"])
+
+    rows = spark.createDataFrame([(f, x, x in there) for f, x in names], "file string, sidecar string, present boolean")
+    return rows.mapInArrow(run, "file string, sidecar string, present boolean, size long, fingerprint string")
+
+
 def register(spark) -> None:
     """Makes the format known to a session and lets filters reach it."""
     spark.dataSource.register(LogSource)
