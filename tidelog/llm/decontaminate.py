@@ -96,7 +96,7 @@ def by_variant() -> Column:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
-    """Rows (id, th, item, words, same): leaks in documents. words: covered; same: no slot was changed.
+    """Rows (id, th, item, words, same): leaks in documents. words: covered by the longest stretch; same: none of its slots was changed.
 
     th is the hash of the document's text, by which rows of equal keys differ.
     """
@@ -148,7 +148,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     good = met.select("id", "doc", F.col("run.item").alias("item"), F.explode("found").alias("f"))
     good = good.where("size(array_distinct(transform(f.pairs, x -> struct(x.k, x.b)))) = size(f.pairs)")
     good = good.select("id", "doc", "item", F.col("f.words").cast("int").alias("words"), F.expr("forall(f.pairs, x -> x.b = x.d)").alias("same"))
-    return good.groupBy("id", "doc", "item").agg(F.max("words").alias("words"), F.max("same").alias("same"))
+    best = good.groupBy("id", "doc", "item").agg(F.max(F.struct("words", "same")).alias("best"))
+    return best.select("id", "doc", "item", "best.words", "best.same")
 
 
 def _of_size(n: int) -> Column:
@@ -163,7 +164,7 @@ def _same(a: str, b: str, x: DataFrame, y: DataFrame) -> Column:
 
 def leaks_of_documents(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows (key, item_id, n_words, same_slots): each pair of a document and a benchmark item that it holds."""
-    return find_leaks(docs, benchmark, key).groupBy(F.col("id").alias(key), F.col("item").alias("item_id")).agg(F.max("words").cast("long").alias("n_words"), F.max("same").alias("same_slots"))
+    return find_leaks(docs, benchmark, key).groupBy(F.col("id").alias(key), F.col("item").alias("item_id")).agg(F.max(F.struct("words", "same")).alias("best")).select(key, "item_id", F.col("best.words").cast("long").alias("n_words"), F.col("best.same").alias("same_slots"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
