@@ -12,7 +12,8 @@ shorter) and its slots are consistent: each value of an item's slots must always
 the document. That is asked of the whole alignment or of a run of ``ENOUGH`` or more hit words in it that edits
 bound; ``ENOUGH`` verbatim words in a row are a leak whatever stands beside them.
 
-The windows of documents are filtered where they are read if the benchmark has at most ``SMALL``
+Windows of documents are looked at only where all their words are figures, marked or known from the items, if these have at most ``VOCABULARY``
+words; no other window can be a hit. They are filtered where they are read if the benchmark has at most ``SMALL``
 windows of all variants, a bound that is checked before its hashes are broadcast; beyond it both sides are
 shuffled by hash. Only documents with enough hits meet their texts again to have slots compared.
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import cut, once, text_or_empty
 
-WINDOW, ENOUGH, SMALL = 8, 13, 500_000
+WINDOW, ENOUGH, SMALL, VOCABULARY = 8, 13, 500_000, 20_000
 
 #: Units that may follow a number.
 UNITS = ("mm", "cm", "m", "km", "in", "ft", "yd", "mi", "mg", "g", "kg", "t", "lb", "oz", "ml", "l", "gal", "s", "sec", "min", "h", "hr", "hour", "hours", "minute", "minutes", "second", "seconds", "day", "days", "week", "weeks", "month", "months", "year", "years", "meter", "meters", "metre", "metres", "mile", "miles", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "degrees")
@@ -48,7 +49,7 @@ def marked_words(text: str) -> str:
     after a number, in any case, and a word of its own even where no space parts them. Points and commas stay within numbers.
     """
     plain = f"replace(replace(replace({text}, '{NAME}', ''), '{FIRST}', ''), '{UNIT}', '')"
-    named = f"regexp_replace({plain}, '(?<=[^.!?:\\\\s])(\\\\s+)(?=\\\\p{{Lu}}\\\\p{{Ll}}+(?!\\\\p{{L}}))', '$1{NAME}')"
+    named = f"regexp_replace({plain}, '([^.!?:\\\\s])(\\\\s+)(?=\\\\p{{Lu}}\\\\p{{Ll}}+(?!\\\\p{{L}}))', '$1$2{NAME}')"
     first = f"regexp_replace({named}, '(^|\\\\s)([^\\\\p{{L}}\\\\p{{N}}\\\\s{NAME}]*)(?=\\\\p{{Lu}}\\\\p{{Ll}}+(?!\\\\p{{L}}))', '$1$2{FIRST}')"
     units = f"regexp_replace({first}, '(\\\\p{{N}})\\\\s*[{NAME}{FIRST}]?((?i:{'|'.join(UNITS)}))(?!\\\\p{{L}})', '$1 {UNIT}$2')"
     bare = f"regexp_replace(lower({units}), '[^\\\\p{{L}}\\\\p{{N}}\\\\s.,{NAME}{FIRST}{UNIT}]+|(?<!\\\\p{{N}})[.,]+|[.,]+(?!\\\\p{{N}})', '')"
@@ -82,12 +83,17 @@ def templated(df: DataFrame) -> DataFrame:
     return once(df, raw=f"transform(_x, x -> ltrim('{NAME}{FIRST}{UNIT}', x))", words=f"array({by_variant})").drop("_x", "_t")
 
 
-def windows(size: int) -> str:
-    """SQL for (i, h1, h2, ...) of each window of that many words: its place and its hash by variant; one window if the text is as short."""
+def places(size: int, known: bool) -> str:
+    """SQL for the begins, from 0, of a text's windows of that many words; where words are known, of those that hold known ones only."""
+    inside = " and ".join(f"get(_ok, i + {k})" for k in range(size)) if known else "true"
+    return f"if(size(_x) < {size}, filter(array(0), i -> false), filter(sequence(0, size(_x) - {size}), i -> {inside}))"
+
+
+def windows(size: int, at: str | None = None) -> str:
+    """SQL for (i, h1, h2, ...) of each window of that many words, or of those that begin at some: its place and its hash by variant."""
     hashed = lambda v: f"xxhash64({', '.join(f'get(th{v}, i + {k})' for k in range(size))}) as h{v}"
-    each = f"transform(sequence(0, size(th1) - {size}), i -> struct(i + 1 as i, {', '.join(hashed(v) for v in range(1, len(VARIANTS) + 1))}))"
-    none = "struct(0 as i, " + ", ".join(f"0L as h{v}" for v in range(1, len(VARIANTS) + 1)) + ")"
-    return f"if(size(th1) < {size}, filter(array({none}), x -> false), {each})"
+    every = f"if(size(th1) < {size}, filter(array(0), i -> false), sequence(0, size(th1) - {size}))"
+    return f"transform({at or every}, i -> struct(i + 1 as i, {', '.join(hashed(v) for v in range(1, len(VARIANTS) + 1))}))"
 
 
 def by_variant() -> Column:
@@ -104,20 +110,29 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     ths = [F.expr(f"transform(words[{v - 1}], x -> xxhash64(x))").alias(f"th{v}") for v in range(1, len(VARIANTS) + 1)]
     items = cut(items.select("item", F.xxhash64("text").alias("ith"), "raw", "words", *ths))
     sizes = sorted(r[0] for r in items.select(F.least(F.lit(WINDOW), F.size("th1"))).distinct().collect())  # WINDOW values at most
-    places = items.select("item", "ith", F.explode(F.concat(*[_of_size(n) for n in sizes or [WINDOW]])).alias("w"))
-    places = places.select("item", "ith", "w.i", F.explode(by_variant()).alias("x")).select("item", "ith", "x.v", "i", "x.hash")
-    places = cut(places.withColumnRenamed("i", "j"))
-    small = places.count() <= SMALL
+    theirs = items.select("item", "ith", F.explode(F.concat(*[_of_size(n) for n in sizes or [WINDOW]])).alias("w"))
+    theirs = theirs.select("item", "ith", "w.i", F.explode(by_variant()).alias("x")).select("item", "ith", "x.v", "i", "x.hash")
+    theirs = cut(theirs.withColumnRenamed("i", "j"))
+    small = theirs.count() <= SMALL
 
     slim = docs.select(F.col(key).cast("long").alias("id"), text_or_empty(text).alias("text")).withColumn("doc", F.xxhash64("text"))
-    mine = once(slim.select("id", "doc", "text"), _x=marked_words("text"))
-    mine = once(mine.select("id", "doc", "_x"), _t=typed_words("_x"))
-    mine = once(mine.select("id", "doc", "_t"), **{f"th{v}": f"transform(_t, x -> xxhash64({word_of(names)}))" for v, names in enumerate(VARIANTS, 1)}).drop("_t")
-    mine = mine.select("id", "doc", F.explode(F.concat(*[F.expr(windows(n)) for n in sizes or [WINDOW]])).alias("w"))
+    sizes = sizes or [WINDOW]
+    words = [r["w"] for r in items.select(F.explode("raw").alias("w")).distinct().limit(VOCABULARY + 1).collect()]
+    known = len(words) <= VOCABULARY
+    mine = once(slim.select("id", "doc", "text"), _x=marked_words("text")).select("id", "doc", "_x")
+    if known:
+        # Words that no item has can't be in a hit, unless they are figures or marked (both begin with a character up to 9).
+        listed = ", ".join(f"'{w}'" for w in sorted({*words, *NUMBERS, *UNITS}))
+        mine = once(mine, _ok=f"transform(_x, x -> ascii(x) <= 57 or x in ({listed}))")
+    mine = once(mine, **{f"_at{n}": places(n, known) for n in sizes})
+    mine = mine.where(" or ".join(f"size(_at{n}) > 0" for n in sizes))
+    mine = once(mine.select("id", "doc", "_x", *[f"_at{n}" for n in sizes]), _t=typed_words("_x")).drop("_x")
+    mine = once(mine, **{f"th{v}": f"transform(_t, x -> xxhash64({word_of(names)}))" for v, names in enumerate(VARIANTS, 1)}).drop("_t")
+    mine = mine.select("id", "doc", F.explode(F.concat(*[F.expr(windows(n, f"_at{n}")) for n in sizes])).alias("w"))
     # A window whose variants are one meets the items once; which variants a hit is of, the item's side says.
     hashes = F.array(*[F.col(f"w.h{v}") for v in range(1, len(VARIANTS) + 1)])
     mine = mine.select("id", "doc", "w.i", hashes.alias("hs"), F.explode(F.array_distinct(hashes)).alias("hash"))
-    hits = mine.join(F.broadcast(places) if small else places, "hash").where(F.element_at("hs", F.col("v")) == F.col("hash")).select("id", "doc", "item", "ith", "v", "i", (F.col("i") - F.col("j")).alias("shift")).distinct()
+    hits = mine.join(F.broadcast(theirs) if small else theirs, "hash").where(F.element_at("hs", F.col("v")) == F.col("hash")).select("id", "doc", "item", "ith", "v", "i", (F.col("i") - F.col("j")).alias("shift")).distinct()
     runs = hits.groupBy("id", "doc", "item", "ith", "v", "shift").agg(F.count("*").alias("n"), F.min("i").alias("low"), F.max("i").alias("high"))
     runs = runs.join(items.select("item", "ith", F.size("th1").alias("length")), _same("item", "ith", runs, items), "inner").select(runs["*"], "length")
     covered = F.least(F.col("n") + WINDOW - 1, F.col("high") - F.col("low") + F.least(F.lit(WINDOW), F.col("length")), F.col("length"))
