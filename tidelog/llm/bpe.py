@@ -197,10 +197,16 @@ class Codec:
 
 
 def read_vocabulary(path: str) -> dict:
-    """A byte-level BPE vocabulary in the tokenizers library's JSON form; read on the driver, about 2 MB."""
+    """A byte-level BPE vocabulary in the tokenizers library's JSON form; read on the driver, about 2 MB. Files of other kinds are refused."""
     with open(path, encoding="utf-8") as f:
         whole = json.load(f)
     model, letters = whole["model"], byte_letters()
+    split = whole.get("pre_tokenizer") or {}
+    bare = (split.get("type"), split.get("add_prefix_space"), split.get("use_regex", True)) == ("ByteLevel", False, True) and not whole.get("normalizer")
+    plain = not any(t.get(k) for t in whole.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    if model.get("type") != "BPE" or (whole.get("decoder") or {}).get("type") != "ByteLevel" or not bare or not plain or odd:
+        raise ValueError(f"{path}: only byte-level BPE with its own split, no normalizer and plain added tokens is known {odd}")
     added = {t["id"]: t["content"] for t in whole.get("added_tokens", [])}
     size = 1 + max([*model["vocab"].values(), *added])
     tokens = [b""] * size

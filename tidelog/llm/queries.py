@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm.common import table
 from tidelog.llm.oracle import ORACLE as ORACLE
 
-#: Where the public vocabulary files lie; a parameter of the operator.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+#: The public vocabulary; a parameter of the operator.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
