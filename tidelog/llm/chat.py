@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import kept_table, partitions
+from tidelog.llm.common import kept_table
 
 RUN = 256
 #: Costs of an action.
@@ -156,13 +156,12 @@ def format_chats(chats: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     """Rows (conv, turn, role, new_role, merged, inserted_before, inserted_after, cost, fragment), one for each turn."""
     import pyarrow as pa
 
-    spark = chats.sparkSession
-    n, kind, turn_kind = partitions(spark), chats.schema[conv].dataType.simpleString(), chats.schema[turn].dataType.simpleString()
+    kind, turn_kind = chats.schema[conv].dataType.simpleString(), chats.schema[turn].dataType.simpleString()
     low = chats.agg(F.min(turn)).head()[0] or 0
     # Blocks count from 1, null turns are block 0, so that dividing by the run again and again ends in one block.
     block = F.coalesce(F.floor(F.col(turn) / run).cast("long") + (1 - min(0, low // run)), F.lit(0).cast("long"))
     rows = chats.select(F.col(conv).alias("conv"), block.alias("block"), F.col(turn).alias("turn"), F.col(role).cast("string").alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    dealt = lambda df, *order: df.repartition(n, "conv", "block").sortWithinPartitions("conv", "block", *order)
+    dealt = lambda df, *order: df.repartition("conv", "block").sortWithinPartitions("conv", "block", *order)
 
     def multiply(batches):
         out = []
@@ -191,22 +190,22 @@ def format_chats(chats: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
         levels.append(kept_table(dealt(up, "child").select("conv", "block", "m").mapInArrow(multiply, schema), "runs"))
 
     # Down: the states at the borders of each run.
-    @F.udf("int")
-    def ending(m):
-        return last_state([m])
+    ways = [F.struct((F.element_at("m", s + 1) + INSERT * len(END[s])).alias("cost"), F.lit(s).alias("state")) for s in range(4)]
+    ending = F.array_min(F.array(*ways))["state"].cast("int")
 
-    chosen = levels[-1].select("conv", "block", F.lit(0).alias("entry"), ending("m").alias("exit"), F.lit(True).alias("ends"))
+    chosen = levels[-1].select("conv", "block", F.lit(0).alias("entry"), ending.alias("exit"), F.lit(True).alias("ends"))
     for lower in reversed(levels[:-1]):
         below = lower.select("conv", F.floor(F.col("block") / run).cast("long").alias("block"), F.col("block").alias("child"), "m")
         above = chosen.withColumnsRenamed({"conv": "pconv", "block": "pblock"})
         joined = below.join(above, F.col("conv").eqNullSafe(F.col("pconv")) & (F.col("block") == F.col("pblock")))
 
         def descend(batches):
-            for (c, _), group in _runs(batches):
-                path = best_path([g[3] for g in group], group[0][4], group[0][5])
-                out = [(c, g[2], e, x, g[6] and i == len(group) - 1) for i, (g, e, x) in enumerate(zip(group, [group[0][4], *path[:-1]], path, strict=True))]
-                c_, b, e, x, last = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c_, key_type), pa.array(b, pa.int64()), pa.array(e, pa.int32()), pa.array(x, pa.int32()), pa.array(last, pa.bool_())], ["conv", "block", "entry", "exit", "ends"])
+            def steps():
+                for (c, _), group in _runs(batches):
+                    path = best_path([g[3] for g in group], group[0][4], group[0][5])
+                    yield from ((c, g[2], e, x, g[6] and i == len(group) - 1) for i, (g, e, x) in enumerate(zip(group, [group[0][4], *path[:-1]], path, strict=True)))
+
+            yield from _batches(steps(), [key_type, pa.int64(), pa.int32(), pa.int32(), pa.bool_()], ["conv", "block", "entry", "exit", "ends"])
 
         chosen = kept_table(dealt(joined, "child").select("conv", "block", "child", "m", "entry", "exit", "ends").mapInArrow(descend, f"conv {kind}, block long, entry int, exit int, ends boolean"), "borders")
 
@@ -214,25 +213,41 @@ def format_chats(chats: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     met = rows.join(chosen, F.col("conv").eqNullSafe(F.col("pconv")) & (F.col("block") == F.col("pblock")))
     names = [conv, turn, role, "new_role", "merged", "inserted_before", "inserted_after", "cost", "fragment"]
 
-    def render(batches):
+    def turns(batches):
         for (c, _), group in _runs(batches):
             entry, exit, ends = group[0][5:8]
             own = [role_of(g[3]) for g in group]
-            plan = repair(own, entry, exit)
-            out, s = [], entry
-            for i, (g, (new, merged, before)) in enumerate(zip(group, plan, strict=True)):
+            s = entry
+            for i, (g, (new, merged, before)) in enumerate(zip(group, repair(own, entry, exit), strict=True)):
                 last = ends and i == len(group) - 1
                 after = END[exit] if last else ()
                 cost = STEPS[own[i]][s][state(new)][0] + INSERT * len(after)
-                out.append((c, g[2], g[3], new, merged, ",".join(before), ",".join(after), cost, fragment(entry == 0 and i == 0, last, new, merged, before, after, g[4])))
+                yield c, g[2], g[3], new, merged, ",".join(before), ",".join(after), cost, fragment(entry == 0 and i == 0, last, new, merged, before, after, g[4])
                 s = state(new)
-            kinds = [key_type, turn_type, pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    def render(batches):
+        kinds = [key_type, turn_type, pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.int32(), pa.string()]
+        yield from _batches(turns(batches), kinds, names)
 
     sorted_rows = dealt(met, F.asc_nulls_first("turn"), "role", "text").select("conv", "block", "turn", "role", "text", "entry", "exit", "ends")
     return sorted_rows.mapInArrow(render, f"`{conv}` {kind}, `{turn}` {turn_kind}, `{role}` string, new_role string, merged boolean, inserted_before string, inserted_after string, cost int, fragment string")
 
 
+def _batches(rows, kinds, names, most: int = 2000, most_chars: int = 4 << 20):
+    """Record batches of so many rows, or of so many characters of their last column, if that is text."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1]) if isinstance(row[-1], str) else 0
+        if len(held) == most or size >= most_chars:
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+
+
 def _arrow(kind):
     from pyspark.sql.pandas.types import to_arrow_type
 
