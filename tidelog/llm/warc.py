@@ -116,8 +116,11 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
 
-def read_records(spark: SparkSession, folder: str, selected: DataFrame) -> DataFrame:
-    """The records of index rows: page_id, url, payload_digest, payload_bytes, record_type, refers_to, payload (binary)."""
+def read_records(spark: SparkSession, folder: str, selected: DataFrame, payloads: bool = True) -> DataFrame:
+    """The records of index rows: page_id, url, payload_digest, payload_bytes, record_type, refers_to and, if asked for, payload (binary).
+
+    A stretch that is read at once unpacks to batches of about ``READ`` bytes, or of one record that is longer.
+    """
     import pyarrow as pa
     from pyarrow import fs
 
@@ -125,6 +128,12 @@ def read_records(spark: SparkSession, folder: str, selected: DataFrame) -> DataF
     names = ["page_id", "url", "payload_digest", "payload_bytes", "record_type", "refers_to", "payload"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
 
+    if not payloads:
+        names, kinds = names[:-1], kinds[:-1]
+
+    def made(found):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
+
     def stretches(batches):
         """Runs of near ranges of one archive, as (archive, [(offset, length)])."""
         name, run = None, []
@@ -145,12 +154,21 @@ def read_records(spark: SparkSession, folder: str, selected: DataFrame) -> DataF
                 file, opened = store.open_input_file(f"{path}/archives/{name}"), name
             first = run[0][0]
             data = file.read_at(max(o + n for o, n in run) - first, first)
-            found = [parse(zlib.decompress(data[o - first : o - first + n], 31)) for o, n in run]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], k) for c, k in zip(names, kinds, strict=True)], names)
+            found, held = [], 0
+            for o, n in run:
+                r = parse(zlib.decompress(data[o - first : o - first + n], 31))
+                held += len(r["payload"] or b"") if payloads else 0
+                found.append([r[c] for c in names])
+                if held >= READ:
+                    yield made(found)
+                    found, held = [], 0
+            if found:
+                yield made(found)
 
     places = selected.select("archive", "offset", "length")
     dealt = places.repartition(partitions(spark), F.col("archive"), F.expr(f"offset div {STRETCH}")).sortWithinPartitions("archive", "offset")
-    return dealt.mapInArrow(read, "page_id long, url string, payload_digest string, payload_bytes long, record_type string, refers_to long, payload binary")
+    schema = "page_id long, url string, payload_digest string, payload_bytes long, record_type string, refers_to long"
+    return dealt.mapInArrow(read, schema + (", payload binary" if payloads else ""))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -158,4 +176,4 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     folder = shared_path(spark, "warc")
     index = write_archives(pages, folder)
-    return read_records(spark, folder, index).drop("payload", "url").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_records(spark, folder, index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
