@@ -44,6 +44,8 @@ from tidelog.llm.common import cut, kept_table, partitions, pieces, text_or_empt
 BITS, RADIUS, WIDE = 64, 3, 24
 SHARD = 20_000
 ANCHORS, SKETCH, NEAR, FEW = 8, 512, 0.08, 32
+#: Texts that are verified by all their hashes are found by broadcast if they are so many at most (some 10 MB).
+SOUGHT = 200_000
 
 
 def shingles(text: str, words: int) -> list[bytes]:
@@ -377,8 +379,7 @@ def _verified(unsure: DataFrame, texts: DataFrame, words: int, alike: float) ->
             every = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(every, pa.list_(pa.int64()))], ["id", "every"])
 
-    asked = unsure.select(F.explode(F.array("a", "b")).alias("qid")).distinct()
-    full = kept_table(texts.join(asked, F.col("id") == F.col("qid"), "left_semi").mapInArrow(run, "id binary, every array<long>").dropDuplicates(["id"]), "full")
+    full = kept_table(texts.mapInArrow(run, "id binary, every array<long>").dropDuplicates(["id"]), "full")
     one, two = (full.select(F.col("id").alias(f"i{x}"), F.col("every").alias(f"e{x}")) for x in "ab")
     met = unsure.join(one, F.col("a") == F.col("ia")).join(two, F.col("b") == F.col("ib"))
     shared = F.size(F.array_intersect("ea", "eb"))
@@ -437,10 +438,11 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
         found = found.unionByName(kept_table(more, "more"))
     links, unsure = found.where("sure").select("a", "b"), found.where("not sure").select("a", "b")
     if unsure.limit(1).count():
-        texts = described.select("id", "at", "th").join(alive, mine(described), "left_semi").withColumnRenamed("at", "dat").withColumnRenamed("th", "dth")
+        # The few texts that sketches can't decide on are sought where texts are read, unless they are many.
         asked = unsure.select(F.explode(F.array("a", "b")).alias("qid")).distinct()
-        texts = texts.join(asked, F.col("id") == F.col("qid"), "left_semi")
-        texts = source.join(texts, F.col("at").eqNullSafe(F.col("dat")) & (F.col("th") == F.col("dth"))).select("id", "text")
+        wanted = kept_table(alive.join(asked, F.col("fid") == F.col("qid"), "left_semi"), "asked")
+        wanted = F.broadcast(wanted) if wanted.count() <= SOUGHT else wanted
+        texts = source.join(wanted, F.col("at").eqNullSafe(F.col("fat")) & (F.col("th") == F.col("fth"))).select(F.col("fid").alias("id"), "text")
         links = links.unionByName(_verified(unsure, texts, words, alike))
     roots = components(links)
     members = alive.join(roots, F.col("fid") == F.col("node")).select("fid", "root", F.struct("fat", "fth").alias("place"))
