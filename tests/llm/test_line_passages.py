@@ -1,6 +1,10 @@
 """Line dedup: no repeated passage of over 50 words stays, whatever its lines are."""
 
 import random
+import zlib
+
+import pytest
+import xxhash
 
 from tests.llm.line_rule import deduped, removed, units
 from tidelog.llm import linededup
@@ -73,3 +77,21 @@ def test_long_lines_and_odd_characters(spark):
     df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(df).collect()}
     assert got == deduped(made) and len(got[1]) < 1000  # ends, and tiny lines between chunks
+
+
+#: Two lines of one XXH64 (seed 42) and one CRC-32.
+COLLIDING = ("wWJfKvYAlliwKxf87aHQoOMEfourthAAbr0VwCUtmanymorei1FJsCQOfourthBB", "sOWq5JFjXYeGX6FcyKbKtKhifourthAAsySkxBpK3t5g2yWa22zhIypcfourthBB")
+
+
+@pytest.mark.parametrize("dealt", [False, True])
+def test_chunks_of_one_hash_are_told_apart_by_their_bytes(spark, monkeypatch, dealt):
+    """Different lines of equal hashes stay, and copies of either go."""
+    a, b = COLLIDING
+    h = xxhash.xxh64_intdigest(a, 42)
+    assert a != b and h == xxhash.xxh64_intdigest(b, 42) and zlib.crc32(a.encode()) == zlib.crc32(b.encode())
+    if dealt:
+        monkeypatch.setattr(linededup, "frequent", lambda *_: [h - (1 << 64) if h >> 63 else h])
+    made = {0: a, 1: f"one\n{b}", 2: f"{b}\n{a}", 3: "other", 4: a, 5: f"{b}\n{b}"}
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(df).collect()}
+    assert out == deduped(made) == {0: a, 1: made[1], 2: "", 3: "other", 4: "", 5: ""}

@@ -10,11 +10,15 @@ chunk that occurs elsewhere (in any document, or again in its own) is removed ev
 cut off at either end, so a passage of 2 * 79 + 61 + 30 = 249 bytes, which 51 words are, holds a chunk that
 begins and ends in it (for one of nothing but tiny lines: but for a chance of 3/4 for each of them).
 
-Chunk rows hold no text: two independent hashes (XXH64 of the line hashes, CRC-32 of the bytes), the number
+Chunk rows hold no text: a hash (XXH64 of the line hashes), the number
 of lines, the document and the place. They are shuffled once, by hash; each group is ordered there, and
-what isn't first goes on to its document. Chunks that a bounded sample of documents shows to be frequent
-are dealt over ``SALTS`` tasks each; their first occurrences are then the least of those tasks' firsts, so the
-sample decides where rows go and never what is removed. Texts are shuffled once, to meet their ranges.
+what isn't first goes on to its document, with the place of the one before. Chunks that a bounded sample of documents shows to be frequent
+are dealt over ``SALTS`` tasks each; the firsts of those tasks are then linked to the least of them, so the
+sample decides where rows go and never what is removed. Texts are shuffled once, for all that reads them.
+
+Then lines are compared byte for byte: each document's linked chunks go, as lines without repeats, to the document that holds those
+before. Where they differ (only if hashes collide), all chunks of these hashes are grouped again by their bytes, and the
+first of each of those groups stays.
 
 A line's end (one line feed, or one space after a sentence) is not compared; it goes with its line.
 
@@ -26,7 +30,7 @@ reserved).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import once, text_or_empty
@@ -75,22 +79,32 @@ def lines_of(text: str, at: str = "LINES") -> str:
     return f"flatten(transform(split({text}, '{CUTS[at]}'), x -> if(octet_length(x) < {LONG}, array(x), flatten(transform(split(x, '{FINER}'), y -> {fine})))))"
 
 
+def chunk_hash(lines: list[str]) -> str:
+    """SQL for a chunk's hash from its lines' hashes."""
+    return f"xxhash64({', '.join(lines)})" if len(lines) > 1 else lines[0]
+
+
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """Rows (id, th, first, n, h, c): chunks of documents (id, th, text), by number of the first piece and number of pieces."""
+    """Rows (id, th, first, n, h): chunks of documents (id, th, text), by number of the first piece and number of pieces."""
     cut = docs.select("id", "th", F.expr(lines_of("text")).alias("parts"))
-    cut = once(cut, us="transform(parts, x -> xxhash64(x))", cs="transform(parts, x -> crc32(x))", ws=f"transform(parts, x -> greatest({TINY}, octet_length(x) + 1))").select("id", "th", "us", "cs", "ws")
+    cut = once(cut, us="transform(parts, x -> xxhash64(x))", ws=f"transform(parts, x -> greatest({TINY}, octet_length(x) + 1))").select("id", "th", "us", "ws")
     lines = lambda a, n: [f"get({a}, i + {k})" for k in range(n)]
     # No slice here: it would copy the whole array for each chunk. The fewest lines are LEAST / TINY at most.
-    hashed = lambda hs: f"xxhash64({', '.join(hs)})" if len(hs) > 1 else hs[0]
-    chunk = lambda n: f"struct(i + 1 as first, {n} as n, {hashed(lines('us', n))} as h, shiftleft(get(cs, i), 31) ^ get(cs, i + {n - 1}) as c)"
+    chunk = lambda n: f"struct(i + 1 as first, {n} as n, {chunk_hash(lines('us', n))} as h)"
     tiny = f"w < {EDGE} and get(us, i) & {RARE - 1} <> 0 and coalesce(get(ws, i - 1) < {LEAST} and get(us, i) <> get(us, i - 1), true)"
     fewest = " ".join(f"when {' + '.join(['w', *lines('ws', n)[1:]])} >= {LEAST} then {chunk(n)}" for n in range(1, -(-LEAST // TINY) + 1))
     found = F.explode(F.expr(f"transform(ws, (w, i) -> case when {tiny} then null {fewest} end)")).alias("x")
-    return cut.select("id", "th", found).where("x is not null").select("id", "th", "x.first", "x.n", "x.h", "x.c")
+    return cut.select("id", "th", found).where("x is not null").select("id", "th", "x.first", "x.n", "x.h")
+
+
+def identity(key: str, text: str) -> list[Column]:
+    """A document's id and th, neither of them null: rows without a key get the least id, and hashes before all others."""
+    known, hashed = F.col(key).cast("long"), F.hash(text_or_empty(text)).cast("long")
+    return [F.coalesce(known, F.lit(-(1 << 63))).alias("id"), F.when(known.isNull(), hashed - (1 << 33)).otherwise(hashed).alias("th")]
 
 
 def slim(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("id"), F.hash(text_or_empty(text)).alias("th"), text_or_empty(text).alias("text"))
+    return docs.select(*identity(key, text), text_or_empty(text).alias("text"))
 
 
 def frequent(docs: DataFrame, key: str, text: str) -> list[int]:
@@ -102,30 +116,88 @@ def frequent(docs: DataFrame, key: str, text: str) -> list[int]:
     return [r["h"] for r in rows.where("n > 3").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()]
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (id, th, ranges): of each document, its chunks (first, n) that occurred before."""
-    hot = frequent(docs, key, text)
+def shuffled(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """All rows and columns by document (_ld_id, _ld_th): the one shuffle of the texts, which all that reads them shares."""
+    of, th = identity(key, text)
+    return docs.withColumns({"_ld_id": of, "_ld_th": th}).repartition("_ld_id", "_ld_th")
+
+
+def with_lines(texts: DataFrame, text: str, asked: DataFrame) -> DataFrame:
+    """Rows (id, th, what is asked, parts), one for each text that is asked for."""
+    # Reads all columns, as a shuffle of fewer would be another one.
+    read = " + ".join(f"int(`{c}` is null)" for c in texts.columns)
+    named = asked.select(*[F.col(c).alias(f"_ld_asked_{c}") for c in asked.columns])
+    met = named.join(texts, (F.col("_ld_asked_id") == F.col("_ld_id")) & (F.col("_ld_asked_th") == F.col("_ld_th")))
+    return once(met.select(*[F.col(f"_ld_asked_{c}").alias(c) for c in asked.columns], F.expr(f"if({read} >= 0, coalesce(cast(`{text}` as string), ''), '')").alias("_ld_text")), parts=lines_of("_ld_text")).drop("_ld_text")
+
+
+def grouped(docs: DataFrame, key: str, text: str, hot: list[int]) -> DataFrame:
+    """Chunk rows by hash and, for frequent hashes, salt: their one shuffle."""
     salt = F.when(F.col("h").isin(hot), F.pmod(F.xxhash64("id", "th"), F.lit(SALTS)) + 1).otherwise(0) if hot else F.lit(0).cast("long")
-    rows = chunk_rows(slim(docs, key, text)).withColumn("salt", salt)
+    return chunk_rows(slim(docs, key, text)).withColumn("salt", salt).repartition("h", "salt")
+
+
+def linked(rows: DataFrame, hot: list[int]) -> DataFrame:
+    """Rows (id, th, pid, pth, by, chunks): of each document the chunks (first, n) whose hash occurred before, by the
+    document that has the one before and the distance there. In a group each chunk is the one before of one at most
+    (the first of a dealt group: of one a task).
+    """
     place = ["id", "th", "first"]
-    ranked = rows.withColumn("rank", F.rank().over(Window.partitionBy("h", "salt", "c", "n").orderBy(*[F.asc_nulls_first(x) for x in place])))
-    if not hot:
-        return ranked.where("rank > 1").groupBy("id", "th").agg(F.collect_list(F.struct("first", "n")).alias("ranges"))
-    # Both uses read all columns, so that they share one shuffle.
-    found = ranked.where("rank > 1 or salt > 0").repartition("id", "th")
-    salted, least = F.col("salt") > 0, F.struct(F.col("id").isNotNull().alias("known"), *place)
-    firsts = found.groupBy(*[F.when(salted, F.col(x)).alias(f"o{x}") for x in ("h", "c", "n")]).agg(F.min(F.when(salted & (F.col("rank") == 1), least)).alias("least"))
-    # FREQUENT hashes at most, and one row of nulls, which meets nothing.
-    met = found.join(F.broadcast(firsts), salted & F.col("h").eqNullSafe(F.col("oh")) & F.col("c").eqNullSafe(F.col("oc")) & F.col("n").eqNullSafe(F.col("on")), "left")
-    met = met.where(F.coalesce(~least.eqNullSafe(F.col("least")), F.lit(True)))
-    return met.groupBy("id", "th").agg(F.collect_list(F.struct("first", "n", "rank")).alias("ranges"))
+    w = Window.partitionBy("h", "salt").orderBy(*place)
+    found = rows.select(*place, "n", "salt", "h", *[F.lag(x).over(w).alias(f"p{x}") for x in place])
+    apart = F.expr("not (id = pid and th = pth and first = pfirst)")
+    if hot:
+        # What begins a dealt group's task is linked to the least of these: FREQUENT * SALTS rows at most.
+        begins = F.expr("salt > 0 and pid is null")
+        # Both uses read all columns, so that they share one shuffle.
+        found = found.where(begins | apart).select(*place, "n", F.when(begins, F.col("h")).alias("h"), "pid", "pth", "pfirst").repartition("id", "th")
+        firsts = found.groupBy(F.col("h").alias("oh")).agg(F.min(F.struct(*place, "n", "pid", "pth", "pfirst")).alias("o"))
+        # Rows without h meet the row of nulls, which changes nothing; a filter would part the shuffle.
+        met = found.join(F.broadcast(firsts), F.col("h").eqNullSafe(F.col("oh")), "left")
+        found = met.select(*place, "n", *[F.expr(f"coalesce(p{x}, o.{x})").alias(f"p{x}") for x in place]).where(apart)
+    else:
+        found = found.where(apart).select(*place, "n", "pid", "pth", "pfirst").repartition("id", "th")
+    return found.groupBy("id", "th", "pid", "pth", F.expr("pfirst - first").alias("by")).agg(F.collect_list(F.struct("first", "n")).alias("chunks"))
+
+
+def kept_by_bytes(rows: DataFrame, runs: DataFrame, texts: DataFrame, text: str) -> DataFrame:
+    """Rows (id, th, keeps): chunks that differ from all before them although their hashes don't; none but for colliding hashes.
+
+    The lines of each document's linked chunks go to the document that has those before and are compared there. Groups
+    of chunks that a differing document has part in are then parted by their bytes.
+    """
+    body = lambda of: f"array_join(transform(x.ls, i -> element_at(parts, i + {of})), '\n')"
+    asked = runs.withColumn("ls", F.expr("array_distinct(flatten(transform(chunks, x -> sequence(x.first, x.first + x.n - 1))))"))
+    asked = asked.groupBy("id", "th").agg(F.collect_list(F.struct("pid", "pth", "by", "ls")).alias("asks"))
+    sent = with_lines(texts, text, asked).select("id", "th", F.explode(F.expr(f"transform(asks, x -> struct(x.pid, x.pth, x.by, x.ls, {body(0)} as body))")).alias("x"))
+    sent = sent.select(F.col("x.pid").alias("id"), F.col("x.pth").alias("th"), F.struct(F.col("id").alias("from_id"), F.col("th").alias("from_th"), "x.by", "x.ls", "x.body").alias("x"))
+    there = with_lines(texts, text, sent.groupBy("id", "th").agg(F.collect_list("x").alias("xs")))
+    differing = there.select(F.explode(F.expr(f"filter(xs, x -> not (x.body <=> {body('x.by')}))")).alias("x")).select(F.col("x.from_id").alias("id"), F.col("x.from_th").alias("th")).distinct()
+    # Few, as hashes hardly collide. Both uses read all columns, so that they share the shuffle of chunk rows.
+    groups = rows.join(F.broadcast(differing), ["id", "th"], "left_semi").select(F.expr("if(first + n + salt > 0, h, null)").alias("h")).distinct()
+    members = rows.join(F.broadcast(groups), "h", "left_semi").groupBy("id", "th").agg(F.collect_list(F.struct("first", "n", "h", "salt")).alias("xs"))
+    bodies = with_lines(texts, text, members).select("id", "th", F.explode(F.expr("transform(xs, x -> struct(x.h, x.first, array_join(slice(parts, x.first, x.n), '\n') as body))")).alias("x"))
+    firsts = bodies.groupBy("x.h", "x.body").agg(F.min(F.struct("id", "th", "x.first")).alias("o"))
+    return firsts.groupBy("o.id", "o.th").agg(F.collect_list("o.first").alias("keeps"))
+
+
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", texts: DataFrame | None = None) -> DataFrame:
+    """Rows (id, th, ranges): of each document, its chunks (first, n) that occurred before, byte for byte."""
+    hot = frequent(docs, key, text)
+    rows = grouped(docs, key, text, hot)
+    runs = linked(rows, hot)
+    kept = kept_by_bytes(rows, runs, shuffled(docs, key, text) if texts is None else texts, text)
+    # Reads all columns, so that it shares the shuffle of found chunks.
+    by_doc = runs.groupBy("id", "th").agg(F.collect_list(F.struct("pid", "pth", "by", "chunks")).alias("runs"))
+    ranges = "flatten(transform(runs, x -> x.chunks))"
+    return by_doc.join(kept, ["id", "th"], "left").select("id", "th", F.expr(f"if(keeps is null, {ranges}, filter({ranges}, x -> not array_contains(keeps, x.first)))").alias("ranges"))
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows and columns, with the texts that remain, and _ld_removed: the number of lines (pieces of long ones) removed."""
-    by_doc = repeats(docs, key, text).select(F.col("id").alias("_ld_id"), F.col("th").alias("_ld_th"), F.col("ranges").alias("_ld_ranges"))
-    keyed = docs.withColumn("_ld_key", F.col(key).cast("long")).withColumn("_ld_hash", F.hash(text_or_empty(text)))
-    met = keyed.join(by_doc, F.col("_ld_key").eqNullSafe(F.col("_ld_id")) & (F.col("_ld_hash") == F.col("_ld_th")), "left").drop("_ld_key", "_ld_hash", "_ld_id", "_ld_th")
+    keyed = shuffled(docs, key, text)
+    by_doc = repeats(docs, key, text, keyed).select(F.col("id").alias("_ld_of"), F.col("th").alias("_ld_of_th"), F.col("ranges").alias("_ld_ranges"))
+    met = keyed.join(by_doc, (F.col("_ld_id") == F.col("_ld_of")) & (F.col("_ld_th") == F.col("_ld_of_th")), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_ld_ranges")
     whole = f"coalesce(`{text}`, '')"
     met = once(met, _ld_out="array_distinct(flatten(transform(_ld_ranges, x -> sequence(x.first, x.first + x.n - 1))))")
     ended = "transform(ps, (p, i) -> if(i + 1 < size(ps), concat(p, ' '), if(j + 1 < size(ls), concat(p, '\\n'), p)))"
@@ -147,5 +219,5 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def dedup_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, n_removed, text_sha256), one for each document; n_removed counts lines and pieces of long ones."""
-    out = without_repeats(docs, key, text)
+    out = without_repeats(docs.select(key, text), key, text)
     return out.select(key, F.col("_ld_removed").alias("n_removed"), F.sha2(text_or_empty(text), 256).alias("text_sha256"))
