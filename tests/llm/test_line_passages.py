@@ -6,6 +6,7 @@ import zlib
 import pytest
 import xxhash
 
+import corpus_pipeline
 from tests.llm.line_rule import deduped, removed, units
 from tidelog.llm import linededup
 
@@ -95,3 +96,17 @@ def test_chunks_of_one_hash_are_told_apart_by_their_bytes(spark, monkeypatch, de
     df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
     out = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(df).collect()}
     assert out == deduped(made) == {0: a, 1: made[1], 2: "", 3: "other", 4: "", 5: ""}
+
+
+#: A line, and two others that are together a chunk of the same hash.
+ONE, TWO = "iK2ZWeqhFWCEPyYngFb51yBMWXaSCrUZoL8g5ubbbPIa84yRnBUbHoWC8FJowoRo", "WD8s7bA16J7PglOU3shVv5UTG79BG16QmtsL4F28\n9diWFCJSNcnPOOqpKJ0maxtR"
+
+
+@pytest.mark.parametrize("texts", [[ONE, TWO, TWO, ONE], [TWO, ONE, ONE, TWO]])
+def test_pipeline_tells_chunks_of_one_hash_and_other_numbers_of_lines_apart(spark, texts):
+    a, b = (xxhash.xxh64_intdigest(x, 42) for x in TWO.split("\n"))
+    assert xxhash.xxh64_intdigest(b.to_bytes(8, "little"), xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42)) == xxhash.xxh64_intdigest(ONE, 42)
+    made = dict(enumerate(texts))
+    df = spark.createDataFrame([(k, t, len(t)) for k, t in made.items()], "doc_id long, text string, n_chars long")
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, df, "none").collect()}
+    assert out == deduped(made) == {0: texts[0], 1: texts[1], 2: "", 3: ""}

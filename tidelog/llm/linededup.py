@@ -166,7 +166,8 @@ def kept_by_bytes(rows: DataFrame, runs: DataFrame, texts: DataFrame, text: str)
     The lines of each document's linked chunks go to the document that has those before and are compared there. Groups
     of chunks that a differing document has part in are then parted by their bytes.
     """
-    body = lambda of: f"array_join(transform(x.ls, i -> element_at(parts, i + {of})), '\n')"
+    # Chunks of one hash may differ in their number of lines: what isn't there is left out.
+    body = lambda of: f"array_join(transform(x.ls, i -> get(parts, i - 1 + {of})), '\n')"
     asked = runs.withColumn("ls", F.expr("array_distinct(flatten(transform(chunks, x -> sequence(x.first, x.first + x.n - 1))))"))
     asked = asked.groupBy("id", "th").agg(F.collect_list(F.struct("pid", "pth", "by", "ls")).alias("asks"))
     sent = with_lines(texts, text, asked).select("id", "th", F.explode(F.expr(f"transform(asks, x -> struct(x.pid, x.pth, x.by, x.ls, {body(0)} as body))")).alias("x"))
