@@ -1,6 +1,7 @@
 """Line dedup: no repeated passage of over 50 words stays, whatever its lines are."""
 
 import random
+import re
 import zlib
 
 import pytest
@@ -110,3 +111,22 @@ def test_pipeline_tells_chunks_of_one_hash_and_other_numbers_of_lines_apart(spar
     df = spark.createDataFrame([(k, t, len(t)) for k, t in made.items()], "doc_id long, text string, n_chars long")
     out = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, df, "none").collect()}
     assert out == deduped(made) == {0: texts[0], 1: texts[1], 2: "", 3: ""}
+
+
+def test_texts_are_cut_by_patterns_once(spark, docs, texts):
+    """Marked texts have the same lines and ends; beyond the sample's, one step of the plan holds the patterns for texts without marks."""
+    rnd = random.Random(11)
+    made = list(texts.values()) + ["", "\n", " \n ", "é𝒳 " * 99 + "\n" + "x." * 99] + [" ".join(rnd.choice("ab. Cd! éé? 12 x\n tt") * rnd.randrange(1, 9) for _ in range(300)) for _ in range(40)]
+    df = spark.createDataFrame([(t,) for t in made], "t string")
+    rows = df.selectExpr("t", f"{linededup.lines_of('t')} as parts", f"{linededup.marked('t')} as m").collect()
+    assert all(re.split("[\n\x1e]", r["m"]) == r["parts"] == [x for x, _ in units(r["t"])] and r["m"].replace("\x1e", " ") == r["t"] for r in rows)
+    plan = linededup.dedup_report(docs).drop("doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert set(re.findall(r"regexp_replace\((\w+)#", plan)) == {"text"}
+    assert not re.search(r"Python|Arrow", plan)
+
+
+def test_texts_that_hold_the_marks(spark):
+    long = " ".join(f"w{i}x{i * 7 % 13}" for i in range(60))
+    made = {0: f"{long}\x1f a. b", 1: f"{long} c. d", 2: f"{long}\x1e", 3: f"q\x1e {long}\n\x1f", 4: f"{long}\x1f a. b", 5: f"\x1f\x1f{long}. {long}\x1f"}
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in linededup.dedup_lines(df).collect()} == deduped(made)

@@ -14,7 +14,8 @@ Chunk rows hold no text: a hash (XXH64 of the line hashes), the number
 of lines, the document and the place. They are shuffled once, by hash; each group is ordered there, and
 what isn't first goes on to its document, with the place of the one before. Chunks that a bounded sample of documents shows to be frequent
 are dealt over ``SALTS`` tasks each; the firsts of those tasks are then linked to the least of them, so the
-sample decides where rows go and never what is removed. Texts are shuffled once, for all that reads them.
+sample decides where rows go and never what is removed. Texts are cut by patterns once, then shuffled once with
+their cuts marked, for all that reads them: chunks, comparison and what remains.
 
 Then lines are compared byte for byte: each document's linked chunks go, as lines without repeats, to the document that holds those
 before. Where they differ (only if hashes collide), all chunks of these hashes are grouped again by their bytes, and the
@@ -46,8 +47,9 @@ SAMPLE, FREQUENT, SALTS = 500, 1000, 64
 _SPACES = "(?<=[.!?] )|(?<=[aeimquy] )(?=[bdfhjlnprtvxz])"
 CUTS = {"LINES": f"[\\\\n ](?:(?<=\\\\n)|{_SPACES})", "SPACES": f" (?:{_SPACES})"}
 FINER = "(?<=[bdhlnrst]) (?=[acegikmoqsuw])"
-#: The record separator marks cuts while a line is cut by hash.
-MARK = "\\u001e"
+#: The record separator stands for a space at which a text is cut; the unit separator parts lines that keep their ends. Texts that
+#: hold either themselves are cut anew wherever their lines are read.
+MARK, UNIT = "\\u001e", "\\u001f"
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -56,7 +58,7 @@ def _let(name: str, value: str, body: str) -> str:
 
 
 def _by_hash(line: str) -> str:
-    """SQL for the parts of a long line, cut before the word of least hash in each ``SPAN`` words.
+    """SQL for a long line, marked before the word of least hash in each ``SPAN`` words.
 
     A word's hash ends in its place, so the least of a window tells where it stands; the least of a
     window is the lesser of two smaller ones'.
@@ -70,31 +72,41 @@ def _by_hash(line: str) -> str:
     marked = f"array_join(zip_with({marks}, ws, (a, w) -> concat(a, w)), ' ')"
     begun = _let("bs", _let("hs", "transform(ws, (w, i) -> (xxhash64(w) & -268435456L) | i)", begins), marked)
     cut = _let("ws", f"split({line}, ' ')", f"if(size(ws) < {SPAN}, '{MARK}' || {line}, {begun})")
-    return f"split(substring({cut}, 2), ' {MARK}')"
+    return f"replace(substring({cut}, 2), ' {MARK}', '{MARK}')"
 
 
 def lines_of(text: str, at: str = "LINES") -> str:
     """SQL for the lines of a text, long ones in pieces; a line that holds ``MARK`` isn't cut by hash."""
-    fine = f"if(octet_length(y) < {LONG} or contains(y, '{MARK}'), array(y), {_by_hash('y')})"
+    fine = f"if(octet_length(y) < {LONG} or contains(y, '{MARK}'), array(y), split({_by_hash('y')}, '{MARK}'))"
     return f"flatten(transform(split({text}, '{CUTS[at]}'), x -> if(octet_length(x) < {LONG}, array(x), flatten(transform(split(x, '{FINER}'), y -> {fine})))))"
 
 
-def chunk_hash(lines: list[str]) -> str:
-    """SQL for a chunk's hash from its lines' hashes."""
-    return f"xxhash64({', '.join(lines)})" if len(lines) > 1 else lines[0]
+def marked(text: str) -> str:
+    """SQL for a text (without ``MARK``) with each space at which ``lines_of`` cuts it marked, so that it is cut by patterns but once."""
+    join = lambda each, cut, then: f"array_join(transform(split({each}, '{MARK}'), {cut} -> if(octet_length({cut}) < {LONG}, {cut}, {then})), '{MARK}')"
+    long = join("l", "x", join(f"regexp_replace(x, '{FINER}', '{MARK}')", "y", _by_hash("y")))
+    spaced = f"regexp_replace({text}, '{CUTS['SPACES']}', '{MARK}')"
+    return f"array_join(transform(split({spaced}, '\\n'), l -> if(octet_length(l) < {LONG}, l, {long})), '\\n')"
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
     """Rows (id, th, first, n, h): chunks of documents (id, th, text), by number of the first piece and number of pieces."""
-    cut = docs.select("id", "th", F.expr(lines_of("text")).alias("parts"))
+    return chunks(docs.select("id", "th", F.expr(lines_of("text")).alias("parts")))
+
+
+def chunks(cut: DataFrame) -> DataFrame:
+    """The same of documents (id, th, parts). Each line is a row beside its document's arrays, in compiled code that copies none of them."""
+    # The fewest lines are LEAST / TINY at most; the last chunk begins where what is left weighs LEAST.
+    most = -(-LEAST // TINY)
     cut = once(cut, us="transform(parts, x -> xxhash64(x))", ws=f"transform(parts, x -> greatest({TINY}, octet_length(x) + 1))").select("id", "th", "us", "ws")
-    lines = lambda a, n: [f"get({a}, i + {k})" for k in range(n)]
-    # No slice here: it would copy the whole array for each chunk. The fewest lines are LEAST / TINY at most.
-    chunk = lambda n: f"struct(i + 1 as first, {n} as n, {chunk_hash(lines('us', n))} as h)"
-    tiny = f"w < {EDGE} and get(us, i) & {RARE - 1} <> 0 and coalesce(get(ws, i - 1) < {LEAST} and get(us, i) <> get(us, i - 1), true)"
-    fewest = " ".join(f"when {' + '.join(['w', *lines('ws', n)[1:]])} >= {LEAST} then {chunk(n)}" for n in range(1, -(-LEAST // TINY) + 1))
-    found = F.explode(F.expr(f"transform(ws, (w, i) -> case when {tiny} then null {fewest} end)")).alias("x")
-    return cut.select("id", "th", found).where("x is not null").select("id", "th", "x.first", "x.n", "x.h")
+    back = f"aggregate(reverse(slice(ws, -least({most}, size(ws)), {most})), struct(0 as s, 0 as k), (a, x) -> if(a.s >= {LEAST}, a, struct(a.s + x as s, a.k + 1 as k)), a -> if(a.s >= {LEAST}, size(ws) - a.k, -1))"
+    lines = once(cut, last=back).select("id", "th", "us", "ws", "last", F.posexplode("ws").alias("i", "w"))
+    begins = f"i <= last and (w >= {EDGE} or get(us, i) & {RARE - 1} = 0 or coalesce(get(ws, i - 1) >= {LEAST} or get(us, i) = get(us, i - 1), false))"
+    # No filter on n here: pushed down, it would make the code too long to be compiled.
+    weighed = lines.where(begins).select("id", "th", "us", "i", "w", *[F.expr(f"coalesce(get(ws, i + {k}), 0)").alias(f"w{k}") for k in range(1, most)])
+    fewest = " ".join(f"when {' + '.join(['w', *[f'w{k}' for k in range(1, n)]])} >= {LEAST} then {n}" for n in range(1, most))
+    found = weighed.select("id", "th", "us", "i", F.expr(f"case {fewest} else {most} end").alias("n"))
+    return found.select("id", "th", F.expr("i + 1").alias("first"), "n", F.expr("if(n = 1, get(us, i), xxhash64(slice(us, i + 1, n)))").alias("h"))
 
 
 def identity(key: str, text: str) -> list[Column]:
@@ -117,24 +129,32 @@ def frequent(docs: DataFrame, key: str, text: str) -> list[int]:
 
 
 def shuffled(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """All rows and columns by document (_ld_id, _ld_th): the one shuffle of the texts, which all that reads them shares."""
+    """All rows and columns by document (_ld_id, _ld_th), texts marked where _ld_marked says so: the one shuffle of the texts, which all that reads them shares."""
     of, th = identity(key, text)
-    return docs.withColumns({"_ld_id": of, "_ld_th": th}).repartition("_ld_id", "_ld_th")
+    plain = f"not (contains(coalesce(`{text}`, ''), '{MARK}') or contains(coalesce(`{text}`, ''), '{UNIT}'))"
+    new = F.expr(f"if({plain}, {marked(f'`{text}`')}, `{text}`)")
+    return docs.withColumns({"_ld_id": of, "_ld_th": th, "_ld_marked": F.expr(plain), text: new}).repartition("_ld_id", "_ld_th")
 
 
-def with_lines(texts: DataFrame, text: str, asked: DataFrame) -> DataFrame:
-    """Rows (id, th, what is asked, parts), one for each text that is asked for."""
+def with_lines(texts: DataFrame, text: str, asked: DataFrame | None = None) -> DataFrame:
+    """Rows (id, th, what is asked, parts), one for each text that is asked for; without asked, for each text."""
     # Reads all columns, as a shuffle of fewer would be another one.
     read = " + ".join(f"int(`{c}` is null)" for c in texts.columns)
-    named = asked.select(*[F.col(c).alias(f"_ld_asked_{c}") for c in asked.columns])
-    met = named.join(texts, (F.col("_ld_asked_id") == F.col("_ld_id")) & (F.col("_ld_asked_th") == F.col("_ld_th")))
-    return once(met.select(*[F.col(f"_ld_asked_{c}").alias(c) for c in asked.columns], F.expr(f"if({read} >= 0, coalesce(cast(`{text}` as string), ''), '')").alias("_ld_text")), parts=lines_of("_ld_text")).drop("_ld_text")
+    whole = F.expr(f"if({read} >= 0, coalesce(cast(`{text}` as string), ''), '')").alias("_ld_text")
+    if asked is None:
+        met = texts.select(F.col("_ld_id").alias("id"), F.col("_ld_th").alias("th"), "_ld_marked", whole)
+    else:
+        named = asked.select(*[F.col(c).alias(f"_ld_asked_{c}") for c in asked.columns])
+        met = named.join(texts, (F.col("_ld_asked_id") == F.col("_ld_id")) & (F.col("_ld_asked_th") == F.col("_ld_th")))
+        met = met.select(*[F.col(f"_ld_asked_{c}").alias(c) for c in asked.columns], "_ld_marked", whole)
+    parts = f"if(_ld_marked, split(replace(_ld_text, '\\n', '{MARK}'), '{MARK}'), {lines_of('_ld_text')})"
+    return once(met, parts=parts).drop("_ld_text", "_ld_marked")
 
 
-def grouped(docs: DataFrame, key: str, text: str, hot: list[int]) -> DataFrame:
+def grouped(texts: DataFrame, text: str, hot: list[int]) -> DataFrame:
     """Chunk rows by hash and, for frequent hashes, salt: their one shuffle."""
     salt = F.when(F.col("h").isin(hot), F.pmod(F.xxhash64("id", "th"), F.lit(SALTS)) + 1).otherwise(0) if hot else F.lit(0).cast("long")
-    return chunk_rows(slim(docs, key, text)).withColumn("salt", salt).repartition("h", "salt")
+    return chunks(with_lines(texts, text)).withColumn("salt", salt).repartition("h", "salt")
 
 
 def linked(rows: DataFrame, hot: list[int]) -> DataFrame:
@@ -185,9 +205,10 @@ def kept_by_bytes(rows: DataFrame, runs: DataFrame, texts: DataFrame, text: str)
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", texts: DataFrame | None = None) -> DataFrame:
     """Rows (id, th, ranges): of each document, its chunks (first, n) that occurred before, byte for byte."""
     hot = frequent(docs, key, text)
-    rows = grouped(docs, key, text, hot)
+    texts = shuffled(docs, key, text) if texts is None else texts
+    rows = grouped(texts, text, hot)
     runs = linked(rows, hot)
-    kept = kept_by_bytes(rows, runs, shuffled(docs, key, text) if texts is None else texts, text)
+    kept = kept_by_bytes(rows, runs, texts, text)
     # Reads all columns, so that it shares the shuffle of found chunks.
     by_doc = runs.groupBy("id", "th").agg(F.collect_list(F.struct("pid", "pth", "by", "chunks")).alias("runs"))
     ranges = "flatten(transform(runs, x -> x.chunks))"
@@ -198,14 +219,15 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """All rows and columns, with the texts that remain, and _ld_removed: the number of lines (pieces of long ones) removed."""
     keyed = shuffled(docs, key, text)
     by_doc = repeats(docs, key, text, keyed).select(F.col("id").alias("_ld_of"), F.col("th").alias("_ld_of_th"), F.col("ranges").alias("_ld_ranges"))
-    met = keyed.join(by_doc, (F.col("_ld_id") == F.col("_ld_of")) & (F.col("_ld_th") == F.col("_ld_of_th")), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_ld_ranges")
+    met = keyed.join(by_doc, (F.col("_ld_id") == F.col("_ld_of")) & (F.col("_ld_th") == F.col("_ld_of_th")), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_ld_marked", "_ld_ranges")
     whole = f"coalesce(`{text}`, '')"
     met = once(met, _ld_out="array_distinct(flatten(transform(_ld_ranges, x -> sequence(x.first, x.first + x.n - 1))))")
     ended = "transform(ps, (p, i) -> if(i + 1 < size(ps), concat(p, ' '), if(j + 1 < size(ls), concat(p, '\\n'), p)))"
     full = f"flatten({_let('ls', f"split({whole}, '\\n')", f"transform(ls, (l, j) -> {_let('ps', lines_of('l', 'SPACES'), ended)})")})"
-    rest = _let("f", full, "array_join(transform(array_except(sequence(1, size(f)), _ld_out), i -> element_at(f, i)), '')")
+    ends = f"split(replace(replace({whole}, '\\n', '\\n{UNIT}'), '{MARK}', ' {UNIT}'), '{UNIT}')"
+    rest = _let("f", f"if(_ld_marked, {ends}, {full})", "array_join(transform(array_except(sequence(1, size(f)), _ld_out), i -> element_at(f, i)), '')")
     changed = F.col("_ld_out").isNotNull()
-    new = F.when(changed, F.expr(rest)).otherwise(F.col(text)).alias(text)
+    new = F.when(changed, F.expr(rest)).otherwise(F.expr(f"if(_ld_marked, replace(`{text}`, '{MARK}', ' '), `{text}`)")).alias(text)
     removed = F.when(changed, F.size("_ld_out")).otherwise(0).cast("long").alias("_ld_removed")
     return met.select(*[new if c == text else F.col(f"`{c}`") for c in docs.columns], removed)
 
